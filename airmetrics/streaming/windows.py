@@ -33,12 +33,12 @@ def window_aggregates(
     events: DataFrame,
     contract: Contract,
     rule: str = "5min",
-    delay: str = "10 minutes",
+    delay: str | None = "10 minutes",
     keys: Sequence[str] = SERIES,
 ) -> DataFrame:
     """Bucket means and quality counts per device, emitted once the watermark closes a bucket.
 
-    ``events`` must carry a watermark already, or get ``delay`` here. Means are over valid
+    ``delay=None`` keeps the watermark that ``events`` already carry. Means are over valid
     values, as in a batch run before gap repair. Partial aggregates come before the shuffle, so
     a busy device does not slow its partition.
     """
@@ -51,17 +51,14 @@ def window_aggregates(
     bad = [count_if(contract.out_of_range(s)).alias(f"oor_{s}") for s in contract.sensors]
     missing = [F.avg(F.col(s).isNull().cast("double")).alias(f"missing_{s}") for s in contract.sensors]
     # Grouping by the whole window keeps the watermark; its start is taken afterwards.
-    grouped = (
-        events.withWatermark("timestamp", delay)
-        .groupBy(bucket, *keys)
-        .agg(
-            F.count(F.lit(1)).alias("readings"),
-            count_if(contract.any_out_of_range()).alias("anomaly_rows"),
-            *sums,
-            *bad,
-            *missing,
-        )
-    )
-    return grouped.select(
-        *keys, F.col("window.start").alias("timestamp"), *[c for c in grouped.columns if c not in ("window", *keys)]
+    if delay is not None:
+        events = events.withWatermark("timestamp", delay)
+    grouped = events.groupBy(bucket, *keys).agg(
+        F.count(F.lit(1)).alias("readings"),
+        count_if(contract.any_out_of_range()).alias("anomaly_rows"),
+        *sums,
+        *bad,
+        *missing,
     )
+    values = [c for c in grouped.columns if c not in ("window", *keys)]
+    return grouped.select(*keys, F.col("window.start").alias("timestamp"), *values)
