@@ -117,12 +117,14 @@ def _interpolation_edges(
     df: DataFrame, sensors: Sequence[str], layout: Layout, by: str
 ) -> DataFrame:
     """Per slice: rows before it, and the nearest known point of each sensor on either side."""
-    ends = [
-        F.expr(f"{kind}({what}) AS `_{end}{part}_{s}`")
-        for s in sensors
-        for end, kind, by_kind in (("first", "min", "min_by"), ("last", "max", "max_by"))
-        for part, kind, what in (("_at", kind, _known(s)), ("", by_kind, f"`{s}`, {_known(s)}"))
-    ]
+    # Positions are unique, times are not.
+    order = f"struct(timestamp, {TIE})" if by == "time" else POS
+    ends = []
+    for s in sensors:
+        placed = f"CASE WHEN `{s}` IS NOT NULL THEN {order} END"
+        for end, pick in (("first", "min"), ("last", "max")):
+            ends.append(F.expr(f"{pick}({_known(s)}) AS `_{end}_at_{s}`"))
+            ends.append(F.expr(f"{pick}_by(`{s}`, {placed}) AS `_{end}_{s}`"))
     edges = df.groupBy(*layout.partition).agg(F.expr("count(1) AS _rows"), *ends)
     before = F.lit(0) if by == "time" else F.coalesce(F.sum("_rows").over(layout.across()), F.lit(0))
     edges = edges.withColumn("_before", before)

@@ -44,6 +44,17 @@ def table(columns: list[str], rows: list[tuple]) -> tuple[list[str], Counter]:
     return [columns[i] for i in order], Counter(tuple(cell(r[i]) for i in order) for r in rows)
 
 
+SAME_TYPE = {
+    "bigint": "BIGINT",
+    "int": "INTEGER",
+    "double": "DOUBLE",
+    "string": "VARCHAR",
+    "boolean": "BOOLEAN",
+    "date": "DATE",
+    "timestamp_ntz": "TIMESTAMP",
+}
+
+
 def compare(spark, con, name: str, query, sql: str, sf_dir: str) -> str | None:
     """None when equal, else what differs."""
     df = query(spark, sf_dir)
@@ -52,6 +63,10 @@ def compare(spark, con, name: str, query, sql: str, sf_dir: str) -> str | None:
     want_columns, want = table(relation.columns, relation.fetchall())
     if got_columns != want_columns:
         return f"columns {got_columns} != {want_columns}"
+    types = {c: str(t) for c, t in zip(relation.columns, relation.types)}
+    other = {c: (t, types[c]) for c, t in df.dtypes if SAME_TYPE.get(t) != types[c]}
+    if other:
+        return f"types {other}"
     if got != want:
         extra, lacking = got - want, want - got
         return (

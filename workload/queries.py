@@ -356,7 +356,7 @@ def snapshot_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
             "window_end_ts",
             "computed_at",
             F.col("metrics.extras.rows_processed").alias("rows_processed"),
-            F.size("metrics.devices").alias("devices"),
+            F.size("metrics.devices").cast("bigint").alias("devices"),
         )
     )
 
