@@ -70,8 +70,9 @@ def missing_columns(df: DataFrame, contract: Contract) -> list[str]:
 
 def normalise_types(df: DataFrame, contract: Contract) -> DataFrame:
     """Cast to contract types; what cannot be cast becomes NULL instead of failing the job."""
-    present = [f for f in contract.struct_type().fields if f.name in df.columns]
-    return df.withColumns({f.name: _cast(df, f.name, f.dataType) for f in present})
+    have = {f.name: f.dataType for f in df.schema.fields}
+    wrong = [f for f in contract.struct_type().fields if have.get(f.name, f.dataType) != f.dataType]
+    return df.withColumns({f.name: _cast(df, f.name, f.dataType) for f in wrong}) if wrong else df
 
 
 def type_problems(df: DataFrame, contract: Contract) -> list[dict[str, str]]:

@@ -140,5 +140,9 @@ def _interpolation_edges(
 
 
 def _whole(rows: DataFrame, rest: DataFrame | None) -> DataFrame:
-    """Rows outside any series pass through unchanged."""
-    return rows if rest is None else rows.unionByName(rest)
+    """Rows outside any series pass through unchanged.
+
+    They come first: Spark keeps the first branch's column aliases, and the series rows must keep
+    the same shape in all their branches for the shuffle to be reused.
+    """
+    return rows if rest is None else rest.select(*rows.columns).unionByName(rows)

@@ -257,7 +257,8 @@ class _Run:
 
     def stations(self, devices: DataFrame, lost: DataFrame) -> DataFrame:
         """One row per group: summed counts, window, and its devices in order of their id."""
-        rows = devices.unionByName(lost, allowMissingColumns=True)
+        # The small branch first: see the note on unions in ``impute``.
+        rows = lost.unionByName(devices, allowMissingColumns=True)
         entry = F.struct(F.col(DEVICE_ID).alias("device_id"), F.struct(*METRICS).alias("metrics"))
         summed = [
             *self.count_names,
