@@ -6,13 +6,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from airmetrics.functions.time import whole_seconds
-from airmetrics.operators.series import Layout, with_previous
+from airmetrics.operators.series import Layout, series_columns, with_previous
 
 
 def intervals(df: DataFrame, layout: Layout = Layout()) -> DataFrame:
     """Per reading: the reading before and the whole seconds since."""
-    times = df.select(*layout.keys, "timestamp", *[c for c in ("event_id",) if c in df.columns])
-    rows = with_previous(times, layout, {"timestamp": F.col("timestamp")})
+    rows = with_previous(df.select(*series_columns(df, layout)), layout, {"timestamp": F.col("timestamp")})
     rows = rows.filter(F.col("prev_timestamp").isNotNull())
     return rows.withColumn("seconds", whole_seconds(F.col("prev_timestamp"), F.col("timestamp")))
 

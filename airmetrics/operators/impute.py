@@ -45,20 +45,15 @@ def forward_fill(df: DataFrame, sensors: Sequence[str], layout: Layout = Layout(
     """Carry the last known value forward; gaps at the start of a series stay."""
     wanted = df.columns
     df, rest = layout.split(df)
-    rows = layout.sliced_rows(df)
+    rows = layout.spread(df) if layout.sliced else layout.sliced_rows(df)
     so_far = layout.forward().rowsBetween(Window.unboundedPreceding, Window.currentRow)
     filled = rows.withColumns({s: F.last(s, ignorenulls=True).over(so_far) for s in sensors})
     if layout.sliced:
-        at = F.struct("timestamp", TIE)
-        edges = rows.groupBy(*layout.partition).agg(
-            *[F.max_by(s, F.when(F.col(s).isNotNull(), at)).alias(f"_last_{s}") for s in sensors]
-        )
         carried = [
-            F.last(f"_last_{s}", ignorenulls=True).over(layout.across()).alias(f"_last_{s}")
-            for s in sensors
+            F.last(s, ignorenulls=True).over(layout.across()).alias(f"_carried_{s}") for s in sensors
         ]
-        filled = layout.carry(filled, edges.select(*layout.partition, *carried))
-        filled = filled.withColumns({s: F.coalesce(s, f"_last_{s}") for s in sensors})
+        filled = layout.carry(filled, layout.last_rows(filled).select(*layout.partition, *carried))
+        filled = filled.withColumns({s: F.coalesce(s, f"_carried_{s}") for s in sensors})
     return _whole(filled.select(*wanted), rest)
 
 

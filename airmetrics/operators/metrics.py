@@ -11,7 +11,7 @@ from airmetrics.config import PipelineConfig
 from airmetrics.contract import SERIES
 from airmetrics.functions.time import SECOND
 from airmetrics.operators.quality import unpivot
-from airmetrics.operators.series import Layout, with_previous
+from airmetrics.operators.series import Layout, series_columns, with_previous
 
 PRESSURE = "discharge_pressure"
 FLOW = "air_flow_rate"
@@ -101,7 +101,8 @@ def device_metrics(
     keys: Sequence[str] | None = None,
 ) -> DataFrame:
     """One row of metrics per device over cleaned, resampled readings."""
-    rows = with_previous(df, layout, previous_values(config))
+    used = series_columns(df, layout, (PRESSURE, FLOW, POWER, SPEED, TEMPERATURE))
+    rows = with_previous(df.select(*used), layout, previous_values(config))
     metrics = metric_aggregates(config)
     return rows.groupBy(*(keys or layout.keys)).agg(*[c.alias(n) for n, c in metrics.items()])
 

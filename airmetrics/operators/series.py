@@ -9,6 +9,7 @@ result is the same as with whole-device windows.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -135,6 +136,11 @@ class Layout:
             Window.partitionBy(*self.keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
         )
 
+    def last_rows(self, rows: DataFrame) -> DataFrame:
+        """The last row of each slice."""
+        final = F.lead(F.lit(1)).over(self.forward()).isNull()
+        return rows.withColumn("_final", final).filter("_final").drop("_final")
+
     def carry(self, df: DataFrame, edges: DataFrame) -> DataFrame:
         """Join per-slice values back to the rows; both sides share the slice key.
 
@@ -143,6 +149,12 @@ class Layout:
         return df.join(edges, on=list(self.partition), how="left")
 
 
+def series_columns(df: DataFrame, layout: Layout, values: Sequence[str] = ()) -> list[str]:
+    """Key, time, the event id if there is one, and the wanted values."""
+    extra = [c for c in ("event_id", TIE) if c in df.columns]
+    return [*dict.fromkeys([*layout.keys, "timestamp", *extra, *values])]
+
+
 def _tie_columns(df: DataFrame) -> list[str]:
     return ["event_id"] if "event_id" in df.columns else sorted(set(df.columns) - {SLICE, SUB})
 
@@ -193,18 +205,25 @@ def _largest(
 
 
 def with_previous(df: DataFrame, layout: Layout, values: dict[str, Column]) -> DataFrame:
-    """Add ``prev_<name>``: each value on the row before, NULL on a series' first row."""
+    """Add ``prev_<name>``: each value on the row before, NULL on a series' first row.
+
+    Give it only the columns that are used afterwards. In slices, the last row of each slice is
+    carried to the next one as a whole, so both readers of the shuffled rows need the same columns.
+    """
     names = [f"prev_{n}" for n in values]
     wanted = [*df.columns, *names]
     packed = F.struct(*[v.alias(n) for n, v in zip(names, values.values())])
     df, rest = layout.split(df)
-    rows = layout.sliced_rows(df).withColumn("_before", F.lag(packed).over(layout.forward()))
+    rows = layout.spread(df) if layout.sliced else layout.sliced_rows(df)
+    before = rows.withColumn("_before", F.lag(packed).over(layout.forward()))
     if layout.sliced:
-        last = F.max_by(packed, F.struct("timestamp", TIE)).alias("_last")
-        edges = layout.sliced_rows(df).groupBy(*layout.partition).agg(last)
-        edges = edges.select(
-            *layout.partition, F.last("_last").over(layout.across()).alias("_carried")
+        whole = F.struct(packed.alias("_before"), *df.columns)
+        edges = layout.last_rows(rows).select(
+            *layout.partition, F.last(whole).over(layout.across()).alias("_carried")
         )
-        rows = layout.carry(rows, edges).withColumn("_before", F.coalesce("_before", "_carried"))
-    rows = rows.withColumns({n: F.col("_before")[n] for n in names}).select(*wanted)
-    return rows if rest is None else rows.unionByName(rest, allowMissingColumns=True)
+        before = layout.carry(before, edges)
+        before = before.withColumn("_before", F.coalesce("_before", F.col("_carried")["_before"]))
+    rows = before.withColumns({n: F.col("_before")[n] for n in names}).select(*wanted)
+    if rest is None:
+        return rows
+    return rest.select(*df.columns, *[F.lit(None).cast(rows.schema[n].dataType).alias(n) for n in names]).unionByName(rows)

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from airmetrics.config import PipelineConfig
 from airmetrics.contract import SERIES, Contract
 from airmetrics.functions.time import whole_seconds
-from airmetrics.operators.metrics import PRESSURE, on_seconds, previous_values
-from airmetrics.operators.series import Layout, with_previous
+from airmetrics.operators.metrics import POWER, PRESSURE, SPEED, is_on, on_seconds
+from airmetrics.operators.series import Layout, series_columns, with_previous
 
 
 def daily_health(
@@ -25,7 +25,9 @@ def daily_health(
     """
     lo, hi = contract.typical_ranges[PRESSURE]
     target = (lo + hi) / 2
-    rows = with_previous(df, layout, previous_values(config))
+    used = series_columns(df, layout, (PRESSURE, POWER, SPEED))
+    before = {"timestamp": F.col("timestamp"), "on": is_on(config)}
+    rows = with_previous(df.select(*used), layout, before)
     seconds = whole_seconds(F.col("prev_timestamp"), F.col("timestamp"))
     daily = rows.groupBy(*layout.keys, F.to_date("timestamp").alias("day")).agg(
         F.coalesce(F.sum(on_seconds(config)), F.lit(0)).alias("uptime_seconds"),

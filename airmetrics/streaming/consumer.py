@@ -19,6 +19,7 @@ from airmetrics.config import PipelineConfig
 from airmetrics.contract import Contract
 from airmetrics.functions.time import bound_literal
 from airmetrics.operators.quality import count_if
+from airmetrics.operators.series import Layout
 from airmetrics.plans.incremental import PERIODS
 from airmetrics.plans.stations import run_pipeline
 from airmetrics.sources.events import (
@@ -150,8 +151,17 @@ def recompute(
 ) -> None:
     """Run the touched (station, day) pairs from bronze and store their snapshots."""
     readings = tables.readings(spark, days).join(touched, on=list(PERIODS), how="left_semi")
-    results = run_pipeline(readings, tables.contract, config, by=PERIODS).results
-    write_snapshots(results, tables.snapshots, batch_id=batch_id)
+    _store(readings, tables.read_bronze(spark).filter(F.col("day").isin(days)), tables, config, batch_id)
+
+
+def _store(
+    readings: DataFrame, bronze: DataFrame, tables: StreamTables, config: PipelineConfig, batch_id: str | None
+) -> None:
+    """Run days and store them. Slices are measured on bronze, which needs no deduplication."""
+    keys = (*PERIODS, "device_id")
+    layout = Layout.of(bronze.withColumnRenamed("day", "period"), config.chunk, keys)
+    run = run_pipeline(readings, tables.contract, config, by=PERIODS, layout=layout)
+    write_snapshots(run.results, tables.snapshots, batch_id=batch_id)
 
 
 def replay(
@@ -169,8 +179,7 @@ def replay(
     if hi is not None:
         rows = rows.filter(F.col("day") <= F.to_date(hi))
     readings = dedupe(rows.drop("ingested_at", "batch_id")).withColumnRenamed("day", "period")
-    results = run_pipeline(readings, tables.contract, config, by=PERIODS).results
-    write_snapshots(results, tables.snapshots)
+    _store(readings, rows, tables, config, None)
     return read_snapshots(spark, tables.snapshots, start=start, end=end)
 
 

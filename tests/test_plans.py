@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 from airmetrics.config import PipelineConfig
 from airmetrics.functions.time import DAY
 from airmetrics.operators.flatlines import flatline_counts
-from airmetrics.operators.impute import drop_missing, interpolate
+from airmetrics.operators.gaps import reading_gaps
+from airmetrics.operators.impute import drop_missing, forward_fill, interpolate
+from airmetrics.operators.metrics import device_metrics
 from airmetrics.operators.series import Layout
+from airmetrics.operators.trends import daily_health
 from airmetrics.plans.stations import run_pipeline
 from airmetrics.sources.folders import shared_folder
 from airmetrics.sources.readings import read_readings
@@ -71,8 +74,21 @@ def test_sliced_run_shuffles_rows_once(stored, contract, plan):
     assert no_python(text) and "CartesianProduct" not in text and "NestedLoop" not in text
 
 
-def test_sliced_interpolation_reuses_its_shuffle(stored, plan):
-    assert "ReusedExchange" in plan(interpolate(stored, SENSORS, Layout(slice_us=DAY)))
+@pytest.mark.parametrize("renamed", [False, True])
+def test_sliced_operators_reuse_their_shuffle(stored, contract, plan, renamed):
+    day = Layout(slice_us=DAY)
+    rows = stored.withColumn("timestamp", F.col("timestamp")) if renamed else stored
+    for df in (
+        interpolate(rows, SENSORS, day),
+        forward_fill(rows, SENSORS, day),
+        device_metrics(rows, layout=day),
+        daily_health(rows, contract, layout=day),
+        reading_gaps(rows, layout=day),
+    ):
+        text = plan(df)
+        spread = [line for line in text.splitlines() if "REPARTITION_BY_COL" in line]
+        assert len(spread) >= 2 and sum("ReusedExchange" not in line for line in spread) == 1
+        assert "SortAggregate" not in text
 
 
 def test_running_frames_only(stored, plan):
