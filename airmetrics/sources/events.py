@@ -55,7 +55,10 @@ def parse_events(raw: DataFrame, contract: Contract, keep: Sequence[str] = ()) -
     ``keep`` names further columns of the input to pass through.
     """
     e = F.col("_e")
-    parsed = raw.withColumn("_e", F.from_json("raw", ENVELOPE))
+    # A generator keeps filters on the result from being pushed into the parse, where every
+    # mention of a field would parse the text again.
+    once = F.explode(F.array(F.from_json("raw", ENVELOPE))).alias("_e")
+    parsed = raw.select("raw", *keep, once)
     values = {s: e["readings"][s] for s in contract.sensors}
     return parsed.select(
         "raw",

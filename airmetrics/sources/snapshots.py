@@ -118,9 +118,8 @@ def write_snapshots(
     """
     batch_id = batch_id or uuid4().hex
     rows = snapshot_rows(results, computed_at, batch_id)
-    # One row per station and window: gather each month so a run adds few files.
-    rows = rows.repartition("window_month", F.pmod(F.xxhash64("station_id"), F.lit(8)))
-    rows.write.mode("append").partitionBy("window_month").parquet(path)
+    # Few files per month, and several when a month holds very many stations.
+    rows.hint("rebalance", "window_month").write.mode("append").partitionBy("window_month").parquet(path)
     return batch_id
 
 
@@ -183,7 +182,7 @@ def compact_snapshots(spark: SparkSession, path: str, months: list[str] | None =
     versions = snapshot_versions(spark, path)
     if months is not None:
         versions = versions.filter(F.col("window_month").isin(months))
-    current = newest(versions).repartition("window_month")
+    current = newest(versions).hint("rebalance", "window_month")
     writer = current.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
     writer.partitionBy("window_month").parquet(path)
 

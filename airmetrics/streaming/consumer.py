@@ -244,6 +244,9 @@ def backlog(query: StreamingQuery) -> dict:
 def _write_batch(df: DataFrame, path: str, batch_id: int, *partitions: str) -> None:
     """Write one batch's rows; a repeated batch replaces its own partitions and nothing else."""
     rows = df.withColumn("batch_id", F.lit(batch_id).cast("bigint"))
+    if partitions:
+        # Adaptive planning gathers small partitions into few files and splits large ones.
+        rows = rows.hint("rebalance", *partitions)
     writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
     writer.partitionBy(*partitions, "batch_id").parquet(path)
 
