@@ -19,7 +19,7 @@ from airmetrics.operators.series import POS, TIE, Layout
 def flatlines_ending_here(df: DataFrame, minutes: dict[str, int], window: WindowSpec) -> DataFrame:
     """Add ``_flat``: how many sensors' flatlines end on this row (whole-series windows)."""
     found = " + ".join(
-        f"int(_end{i} AND NOT _begin{i} AND {_lasts(f'_since{i}.at', 'timestamp', m)})"
+        f"int(_end{i} AND NOT _begin{i} AND {_lasts(f'_since{i}', 'timestamp', m)})"
         for i, m in enumerate(minutes.values())
     )
     rows = _mark_runs(df, [_comparable(s) for s in minutes], window)
@@ -41,17 +41,25 @@ def value_runs(
     rows = rows.withColumn(POS, F.row_number().over(window))
     rows = rows.withColumn("_final", F.lead(POS).over(window).isNull())
     rows = _mark_runs(rows, [f"_v{i}" for i in range(len(series))], window)
+    opens = {f"_opens{i}": F.expr(f"_place{i} = 1") for i in range(len(series))}
+    keep = {
+        f"_keep{i}": F.expr(
+            f"_end{i} AND (_opens{i} OR _final"
+            f" OR (_v{i} IS NOT NULL AND {_lasts(f'_since{i}', 'timestamp', minutes[name])}))"
+        )
+        for i, name in enumerate(series)
+    }
+    # Most rows end no run worth keeping: drop them before anything is built for the others.
+    rows = rows.withColumns(opens).withColumns(keep).filter(" OR ".join(keep))
     candidates = ", ".join(
-        f"""CASE WHEN _end{i} AND (_since{i}.pos = 1 OR _final
-                OR (_v{i} IS NOT NULL AND {_lasts(f'_since{i}.at', 'timestamp', minutes[name])}))
-            THEN named_struct('sensor', '{name}', 'value', _v{i}, 'start', _since{i}.at,
-                'end', timestamp, 'readings', bigint({POS} - _since{i}.pos + 1),
-                'opens', _since{i}.pos = 1, 'closes', _final, 'place', _since{i}.pos,
-                'threshold', {float(minutes[name])}D) END"""
+        f"""CASE WHEN _keep{i} THEN named_struct('sensor', '{name}', 'value', _v{i},
+            'start', _since{i}, 'end', timestamp, 'readings', bigint({POS} - _place{i} + 1),
+            'opens', _opens{i}, 'closes', _final, 'place', _place{i},
+            'threshold', {float(minutes[name])}D) END"""
         for i, name in enumerate(series)
     )
-    kept = F.expr(f"explode(filter(array({candidates}), r -> r IS NOT NULL)) AS r")
-    runs = rows.select(*layout.partition, kept).select(*layout.partition, "r.*")
+    runs = rows.select(*layout.partition, F.expr(f"explode(array({candidates})) AS r"))
+    runs = runs.filter("r IS NOT NULL").select(*layout.partition, "r.*")
     if layout.sliced:
         runs = _stitch(runs, layout)
     long_enough = "value IS NOT NULL AND readings >= 2 AND " + _lasts("start", "end", "threshold")
@@ -62,7 +70,7 @@ def value_runs(
 
 
 def _mark_runs(df: DataFrame, values: list[str], window: WindowSpec) -> DataFrame:
-    """Per value: does a run begin here, does it end here, and where did the current one begin.
+    """Per value: does a run begin here, does it end here, and since when does it last.
 
     A NULL is a run of its own.
     """
@@ -77,12 +85,13 @@ def _mark_runs(df: DataFrame, values: list[str], window: WindowSpec) -> DataFram
         for i, v in enumerate(values)
         for edge, side in (("begin", "lag"), ("end", "lead"))
     }
-    here = f"named_struct('at', timestamp, 'pos', {POS})" if POS in df.columns else "struct(timestamp AS at)"
-    since = {
-        f"_since{i}": F.expr(f"last(CASE WHEN _begin{i} THEN {here} END, true)").over(so_far)
+    marks = {"since": "timestamp"} | ({"place": POS} if POS in df.columns else {})
+    begun = {
+        f"_{name}{i}": F.expr(f"last(CASE WHEN _begin{i} THEN {what} END, true)").over(so_far)
         for i in range(len(values))
+        for name, what in marks.items()
     }
-    return df.withColumns(around).withColumns(edges).withColumns(since)
+    return df.withColumns(around).withColumns(edges).withColumns(begun)
 
 
 def _lasts(start: str, end: str, minutes: object) -> str:

@@ -190,11 +190,11 @@ def _largest(
 ) -> tuple[int, int, int] | None:
     """Largest row count per (series, narrow slice), (series, wide slice) and series."""
     wide, narrow = widths
-    at = F.col("timestamp")
+    start = F.col("n") - F.pmod(F.col("n"), F.lit(wide))
     row = (
-        df.groupBy(*keys, floor_us(at, wide).alias("w"), floor_us(at, narrow).alias("n"))
+        df.groupBy(*keys, floor_us(F.col("timestamp"), narrow).alias("n"))
         .agg(F.count(F.lit(1)).alias("rows"))
-        .groupBy(*keys, "w")
+        .groupBy(*keys, start.alias("w"))
         .agg(F.sum("rows").alias("rows"), F.max("rows").alias("narrow"))
         .groupBy(*keys)
         .agg(F.sum("rows").alias("rows"), F.max("rows").alias("wide"), F.max("narrow").alias("narrow"))
