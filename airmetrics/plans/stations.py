@@ -27,6 +27,7 @@ from airmetrics.sources.snapshots import DEVICE, QUALITY, RESULT, receipts, writ
 
 DEVICE_ID = "device_id"
 FLAGS = "_flags"
+UTC = ("UTC", "Etc/UTC", "GMT", "Z", "+00:00")
 
 
 class StationRun:
@@ -100,6 +101,9 @@ def run_pipeline(
     ``stations`` names stations that must appear in the results even when they have no rows.
     ``layout`` saves the measuring pass when the caller knows how to slice the series.
     """
+    zone = readings.sparkSession.conf.get("spark.sql.session.timeZone")
+    if zone not in UTC:
+        raise ValueError(f"days and ISO texts are in UTC: set spark.sql.session.timeZone to UTC, not {zone}")
     return StationRun(_Run(contract, config, tuple(by)), readings, stations, layout)
 
 
