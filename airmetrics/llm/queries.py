@@ -5,11 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from airmetrics.llm.common import read_table
+from airmetrics.llm import language_id, licenses, oracle, toxicity, urls
+from airmetrics.llm.common import id_remainder, read_table
 from airmetrics.llm.packing import pack
 from airmetrics.llm.sharding import shard_documents
 
 
+def op1_language_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document; a quarter is held out of the learning."""
+    documents = read_table(spark, sf_dir, "documents")
+    held_out = F.coalesce(id_remainder(F.col("doc_id"), 4) == 2, F.lit(False))
+    filters = language_id.fit(documents.where(id_remainder(F.col("doc_id"), 4) != 2))
+    found = language_id.with_language(documents.select("doc_id", "text"), filters)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op3_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 16 shards of nearly equal bytes."""
     placed = shard_documents(read_table(spark, sf_dir, "documents"), shards=16)
@@ -25,13 +35,60 @@ def op3_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The licences that every document states."""
+    found = licenses.scan(read_table(spark, sf_dir, "documents"))
+    return found.withColumn("licences", F.array_join("licences", " AND "))
+
+
+#: The rules of the contract.
+URL_RULES = [
+    urls.Rule("org", "/", "allow"),
+    urls.Rule("example.org", "/es/", "block"),
+    urls.Rule("example.org", "/en/1", "block"),
+    urls.Rule("com", "/fr/", "allow"),
+    urls.Rule("com", "/de/", "block"),
+]
+
+
+def op6_path_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A verdict for the URL of every page; pages of low-quality documents are the bad labels."""
+    labels = read_table(spark, sf_dir, "labels").select(
+        F.col("doc_id").cast("long").alias("label_id"), (1 - F.col("quality")).cast("long").alias("bad")
+    )
+    return urls.judge(read_table(spark, sf_dir, "pages"), labels, URL_RULES)
+
+
 def op7_bounded_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as pieces of sequences of at most 4096 tokens."""
     return pack(read_table(spark, sf_dir, "documents"), with_ids=False)
 
 
+def op9_string_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A toxicity score for every document; a fifth of the labels is held out of the learning."""
+    documents = read_table(spark, sf_dir, "documents")
+    labels = read_table(spark, sf_dir, "labels")
+    learned = toxicity.fit(labelled_texts(documents, labels.where(id_remainder(F.col("doc_id"), 5) != 0)))
+    held_out = F.coalesce(id_remainder(F.col("doc_id"), 5) == 0, F.lit(False))
+    scored = toxicity.with_toxicity(documents.select("doc_id", "text"), learned)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+def labelled_texts(documents: DataFrame, labels: DataFrame) -> DataFrame:
+    """``text`` and ``toxic`` of the labelled documents; the worse of two labels counts."""
+    known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    return documents.select("doc_id", "text").join(known, "doc_id").select("text", "toxic")
+
+
 QUERIES = {
+    "op1_language_filters": op1_language_filters,
     "op3_virtual_slots": op3_virtual_slots,
+    "op5_license_rules": op5_license_rules,
+    "op6_path_templates": op6_path_templates,
     "op7_bounded_packing": op7_bounded_packing,
+    "op9_string_kernel": op9_string_kernel,
+}
+ORACLE = {
+    "op5_license_rules": oracle.license_sql(),
+    "op6_path_templates": oracle.url_sql(URL_RULES),
 }
-ORACLE: dict[str, str] = {}
