@@ -6,11 +6,12 @@ or left out, punctuation inside a word and letters spaced apart so change little
 toxic as its worst word, a text as its worst sentence.
 
 The machine is trained on sentences of labelled texts. Those of clean texts are clean. Of each
-toxic text the word that the present machine finds worst stands for its toxic sentences; a few
-rounds of choosing and training settle which; at last they also train with a letter put in. Words are mapped to the span of the landmarks
-(Nyström), where the squared-hinge machine is solved by Newton steps. As the kernel has explicit
-features, the trained machine folds into one weight per subsequence, so that scoring reads a
-table instead of comparing with every landmark.
+toxic text the word that the present machine finds worst stands for its toxic sentences, and so
+do words that several toxic texts share and no clean one has; a few rounds of choosing and
+training settle which. Last, they also train with a letter put in. Words are mapped to the span
+of the landmarks (Nyström), where the squared-hinge machine is solved by Newton steps. As the
+kernel has explicit features, the trained machine folds into one weight per subsequence, so that
+scoring reads a table instead of comparing with every landmark.
 
 Defined results: null, empty and letterless texts get the score of a text without any known
 subsequence. Long texts are scored whole, in slices of bounded size cut between words. Repeated
@@ -227,12 +228,15 @@ def train(texts: list[str | None], labels: list[int], landmarks: int = LANDMARKS
 
     clean = seen[0] > 0
     toxic_texts = [words for words, kind in zip(held, label) if kind == 1 and len(words)]
+    # Words met in several toxic texts and in no clean one stand for their sentences in any case.
+    plain = ~clean & (seen[1] >= 3)
     margin = telling.copy()
     solved = np.zeros(x.shape[1])
     for _ in range(rounds):
         worst = np.zeros(len(vocabulary))
         for words in toxic_texts:
             worst[words[np.argmax(margin[words])]] += 1
+            worst[words[plain[words]]] += 1
         positive = (worst > 0) & ~clean
         used = positive | clean
         if not positive.any():
@@ -243,10 +247,11 @@ def train(texts: list[str | None], labels: list[int], landmarks: int = LANDMARKS
         margin = x @ solved
     if np.any(solved):
         # Virtual examples: the words settled on, each with one letter put in.
-        chosen = [vocabulary[k] for k in np.flatnonzero(positive) if len(vocabulary[k]) > LETTERS]
+        found = (margin > 0) & ~clean & (seen[1] > 1)
+        chosen = [vocabulary[k] for k in np.flatnonzero(positive | found) if len(vocabulary[k]) > LETTERS]
         altered = sorted({w for word in chosen for w in _with_a_letter(word)} - {vocabulary[k] for k in np.flatnonzero(clean)})
         more = mapped(altered) if altered else x[:0]
-        spread = np.full(len(altered), 1000.0 / max(1, len(altered)))
+        spread = np.full(len(altered), 5000.0 / max(1, len(altered)))
         solved = _solve(np.concatenate([x[used], more]), np.append(y, np.ones(len(altered))), np.append(cost, spread))
     folded = base @ (root @ solved[:-1])
     table = np.zeros(TABLE, dtype=np.float32)
