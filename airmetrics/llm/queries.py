@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from airmetrics.llm import language_id, licenses, oracle, toxicity, urls
+from airmetrics.llm import decontamination, jaccard_join, language_id, licenses, nearest, oracle, toxicity, urls
 from airmetrics.llm.common import id_remainder, read_table
 from airmetrics.llm.packing import pack
 from airmetrics.llm.sharding import shard_documents
@@ -35,6 +35,11 @@ def op3_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_simhash_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The benchmark items found in every document."""
+    return decontamination.leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op5_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The licences that every document states."""
     found = licenses.scan(read_table(spark, sf_dir, "documents"))
@@ -64,6 +69,11 @@ def op7_bounded_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read_table(spark, sf_dir, "documents"), with_ids=False)
 
 
+def op8_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Group, copies and links of every document."""
+    return jaccard_join.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 def op9_string_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A toxicity score for every document; a fifth of the labels is held out of the learning."""
     documents = read_table(spark, sf_dir, "documents")
@@ -74,6 +84,12 @@ def op9_string_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op10_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest vectors of every fiftieth."""
+    found = nearest.nearest(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+    return found.select("query_id", "rank", "vec_id", "score")
+
+
 def labelled_texts(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """``text`` and ``toxic`` of the labelled documents; the worse of two labels counts."""
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -83,10 +99,13 @@ def labelled_texts(documents: DataFrame, labels: DataFrame) -> DataFrame:
 QUERIES = {
     "op1_language_filters": op1_language_filters,
     "op3_virtual_slots": op3_virtual_slots,
+    "op4_simhash_windows": op4_simhash_windows,
     "op5_license_rules": op5_license_rules,
     "op6_path_templates": op6_path_templates,
     "op7_bounded_packing": op7_bounded_packing,
+    "op8_minhash_forest": op8_minhash_forest,
     "op9_string_kernel": op9_string_kernel,
+    "op10_multi_index": op10_multi_index,
 }
 ORACLE = {
     "op5_license_rules": oracle.license_sql(),
