@@ -96,16 +96,17 @@ class LanguageFilters:
                 hits[bit] += seen[(values >> np.array(bit, dtype=values.dtype)) & 1 == 1].sum()
         return hits, total
 
-    def predict(self, text: str | None) -> tuple[str, float]:
+    def predict(self, text: str | None) -> tuple[str, float, float]:
+        """The language, its share of all corrected counts, and its share of the text's n-grams."""
         words = letters(text)
         if not words or not self.names:
-            return UNDETERMINED, 0.0
+            return UNDETERMINED, 0.0, 0.0
         hits, total = self.counts(words)
         corrected = np.maximum(0.0, (hits - total * self.false_rate) / (1.0 - self.false_rate))
         best = int(np.argmax(corrected))
         if corrected[best] <= 0:
-            return self.names[self.largest], 0.0
-        return self.names[best], float(corrected[best] / corrected.sum())
+            return self.names[self.largest], 0.0, 0.0
+        return self.names[best], float(corrected[best] / corrected.sum()), float(min(1.0, corrected[best] / total))
 
 
 def _count_grams(names: list[str]):
@@ -168,14 +169,14 @@ def fit(
 
 
 def predictor(spark: SparkSession, filters: LanguageFilters):
-    """A column function ``text -> struct<lang, score>``; the filters have a fixed size."""
+    """A column function ``text -> struct<lang, score, coverage>``; the filters have a fixed size."""
     shared = spark.sparkContext.broadcast(filters)
 
-    @F.pandas_udf("lang string, score double")
+    @F.pandas_udf("lang string, score double, coverage double")
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         model = shared.value
         for texts in batches:
-            yield pd.DataFrame([model.predict(text) for text in texts], columns=["lang", "score"])
+            yield pd.DataFrame([model.predict(text) for text in texts], columns=["lang", "score", "coverage"])
 
     return predict
 
@@ -184,3 +185,14 @@ def with_language(documents: DataFrame, filters: LanguageFilters, text: str | Co
     """Add ``lang_pred`` and ``score`` to ``documents``."""
     found = documents.withColumn("_language", predictor(documents.sparkSession, filters)(text))
     return found.withColumns({"lang_pred": F.col("_language.lang"), "score": F.col("_language.score")}).drop("_language")
+
+
+def identified(documents: DataFrame, filters: LanguageFilters, coverage: float = 0.1) -> DataFrame:
+    """The documents in a known language, all columns kept.
+
+    A text goes when it has no letter, or at least 50 letters and blanks of which less than
+    ``coverage`` of the n-grams belong to its language.
+    """
+    found = predictor(documents.sparkSession, filters)("text")
+    foreign = (found["coverage"] < coverage) & (F.length("text") >= 50)
+    return documents.where((found["lang"] != UNDETERMINED) & ~foreign)

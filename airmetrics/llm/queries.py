@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from airmetrics.llm import decontamination, jaccard_join, language_id, licenses, nearest, oracle, toxicity, urls
+from airmetrics.llm import decontamination, html_layout, jaccard_join, language_id, licenses, nearest, oracle, toxicity, urls
 from airmetrics.llm.common import id_remainder, read_table
 from airmetrics.llm.packing import pack
 from airmetrics.llm.sharding import shard_documents
@@ -20,6 +20,11 @@ def op1_language_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op2_layout_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The visible text of every page."""
+    return html_layout.extract(read_table(spark, sf_dir, "pages").select("page_id", "html")).drop("html")
+
+
 def op3_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 16 shards of nearly equal bytes."""
     placed = shard_documents(read_table(spark, sf_dir, "documents"), shards=16)
@@ -98,6 +103,7 @@ def labelled_texts(documents: DataFrame, labels: DataFrame) -> DataFrame:
 
 QUERIES = {
     "op1_language_filters": op1_language_filters,
+    "op2_layout_text": op2_layout_text,
     "op3_virtual_slots": op3_virtual_slots,
     "op4_simhash_windows": op4_simhash_windows,
     "op5_license_rules": op5_license_rules,

@@ -1,20 +1,68 @@
-"""The corpus pipeline: documents in, packed training sequences out."""
+"""The corpus pipeline: documents in, packed training sequences out.
+
+Every stage works on all rows that the one before it has stored and returns the columns of
+``documents``; the last returns pieces of sequences. Null ids and texts pass through the stages
+that do not reject them: a text without letters is rejected by language identification.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from airmetrics.llm import decontamination, jaccard_join, language_id, packing, toxicity
 from airmetrics.llm.common import read_table, stored
-from airmetrics.llm.packing import pack
+from airmetrics.llm.queries import labelled_texts
+
+
+def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the string kernel does not find toxic."""
+    model = toxicity.fit(labelled_texts(docs, read_table(spark, sf_dir, "labels")))
+    return docs.where(toxicity.scorer(spark, model)("text") < 0.5)
+
+
+def in_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language the n-gram filters recognise."""
+    return language_id.identified(docs, language_id.fit(docs))
+
+
+def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of copies and near copies, the one with the least id."""
+    found = jaccard_join.near_duplicates(docs).where("doc_id is not null")
+    by_id = stored(
+        found.groupBy("doc_id").agg(
+            F.max(F.col("class_id") == F.col("doc_id")).alias("stays"), F.count("*").alias("rows")
+        ),
+        "decisions",
+    )
+    kept = docs.join(by_id.where("not stays"), "doc_id", "left_anti")
+    again = by_id.where("stays and rows > 1").select("doc_id")
+    if again.isEmpty():
+        return kept.select(docs.columns)
+    # An id on several rows: of equal texts one stays.
+    once = kept.join(again, "doc_id", "left_anti")
+    more = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return once.unionByName(more).select(docs.columns)
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage of the benchmark."""
+    return decontamination.without_leaks(docs, read_table(spark, sf_dir, "benchmark"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of training sequences, with their token ids."""
-    return pack(docs)
+    return packing.pack(docs)
 
 
-STAGES = [("packing", packed)]
-#: Tokens and learned decisions are beyond SQL; tests compare with a brute-force version.
+STAGES = [
+    ("toxicity", without_toxic),
+    ("language", in_known_language),
+    ("near duplicates", without_near_duplicates),
+    ("decontamination", decontaminated),
+    ("packing", packed),
+]
+#: Learned decisions and token ids are beyond SQL; tests compare with a brute-force version.
 ORACLE_SQL = None
 
 
