@@ -57,12 +57,16 @@ def plan(weights: dict[int, int], shards: int, slots: int = SLOTS) -> dict[int,
     return placed
 
 
-def rebalance(placed: dict[int, int], weights: dict[int, int], shards: int) -> dict[int, int]:
+def rebalance(
+    placed: dict[int, int], weights: dict[int, int], shards: int, tolerance: float = 0.03
+) -> dict[int, int]:
     """Edit a map for new weights or another number of shards, moving few slots.
 
-    Slots of shards that no longer exist move first. Then, as long as it narrows the gap between
-    the fullest and the emptiest shard, the slot that comes closest to halving the gap moves.
+    Slots of shards that no longer exist move first. Then, until the fullest and the emptiest
+    shard differ by no more than ``tolerance`` of the mean or no slot fits between them, the slot
+    that comes closest to halving their gap moves.
     """
+    mean = sum(weights.values()) / shards
     edited = {slot: shard for slot, shard in placed.items() if shard < shards}
     held: dict[int, set[int]] = {shard: set() for shard in range(shards)}
     for slot, shard in edited.items():
@@ -80,6 +84,8 @@ def rebalance(placed: dict[int, int], weights: dict[int, int], shards: int) -> d
         full = max(load, key=lambda shard: (load[shard], -shard))
         empty = min(load, key=lambda shard: (load[shard], shard))
         gap = load[full] - load[empty]
+        if gap <= tolerance * mean:
+            break
         fitting = [slot for slot in held[full] if 0 < weights.get(slot, 0) < gap]
         if not fitting:
             break
