@@ -7,8 +7,8 @@ principle every item within the radius of a window shares an entry with it. Cand
 verified exactly: the shingles weighted by their counts, the sum of the lesser weights over the
 sum of the greater ones, must reach the threshold.
 
-Only windows that hold at least one shingle of some item are fingerprinted. That loses nothing: a
-window without any has similarity 0 to all items. At the threshold of 0.8 a fingerprint differs in
+Only windows that hold at least one shingle of some item of their size are fingerprinted. That
+loses nothing: a window without any has similarity 0 to all these items. At the threshold of 0.8 a fingerprint differs in
 about 10 of 64 bits with a deviation of 3, so the radius of 23 leaves out less than one in 10,000.
 
 The scan runs inside the row, so copies and hot sources need no shuffle. Benchmarks are taken in
@@ -102,32 +102,39 @@ class Benchmark:
         self.words = [len(words[k]) for k in kept]
         self.shingles = [shingle_hashes(words[k]) for k in kept]
         every = np.concatenate(self.shingles) if kept else np.empty(0, np.uint64)
-        self.known = np.unique(every)
+        self.known, place = np.unique(every, return_inverse=True)
         self.filter = np.zeros(_FILTER, dtype=bool)
         self.filter[(self.known & np.uint64(_FILTER - 1)).astype(np.int64)] = True
         size = np.array([len(s) for s in self.shingles], dtype=np.int64)
+        # Per known shingle: the sizes of the items that hold it.
+        pairs = np.unique(np.column_stack([place, np.repeat(size, size)]), axis=0)
+        self.size_starts = np.searchsorted(pairs[:, 0], np.arange(len(self.known) + 1))
+        self.size_of = pairs[:, 1]
         self.sizes = {}
         for one in np.unique(size):
             own = np.flatnonzero(size == one)
             prints = np.array([simhash(self.shingles[k]) for k in own])
             self.sizes[int(one)] = SizeIndex(own, prints, radius)
 
-    def _held(self, shingles: np.ndarray) -> np.ndarray:
-        """Places of shingles that belong to an item."""
+    def _held(self, shingles: np.ndarray) -> dict[int, np.ndarray]:
+        """Per item size: places of shingles that belong to an item of that size."""
         at = np.flatnonzero(self.filter[(shingles & np.uint64(_FILTER - 1)).astype(np.int64)])
-        if not len(at):
-            return at
+        if not len(at) or not len(self.known):
+            return {}
         spot = np.minimum(np.searchsorted(self.known, shingles[at]), len(self.known) - 1)
-        return at[self.known[spot] == shingles[at]]
+        same = self.known[spot] == shingles[at]
+        at, spot = at[same], spot[same]
+        first, count = self.size_starts[spot], self.size_starts[spot + 1] - self.size_starts[spot]
+        inner = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        sizes, places = self.size_of[np.repeat(first, count) + inner], np.repeat(at, count)
+        return {int(one): places[sizes == one] for one in np.unique(sizes)}
 
     def matches(self, text: str | None) -> dict[int, tuple[float, int]]:
         """Per item: the similarity of its best window, and the word where that window starts."""
         shingles = shingle_hashes(word_hashes(text))
-        held = self._held(shingles) if len(self.ids) else shingles[:0]
         found: dict[int, tuple[float, int]] = {}
-        if not len(held):
-            return found
-        for size, index in self.sizes.items():
+        for size, held in self._held(shingles).items():
+            index = self.sizes[size]
             width = min(size, len(shingles))
             # Starts of the windows around the places held, in runs without long gaps.
             reach = np.zeros(len(shingles) + 1, dtype=np.int64)
