@@ -9,7 +9,8 @@ test are merged. A branch is rejected when its purity, the share of bad labels s
 the overall share, reaches the limit. Explicit rules go before all that.
 
 Only built-in functions; counts are reduced to distinct path shapes before any join, so a host
-that holds a third of all URLs costs no more than the shapes it has.
+that holds a third of all URLs costs no more than the shapes it has. The small tables of the tree
+are written to the shared folder level by level.
 
 Defined results: a null URL, or one without ``://``, has an empty host and path and is judged with
 all others of that kind. URLs without labels have the overall share. Repeated rows are counted as
@@ -24,6 +25,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from airmetrics.llm.common import stored
+
 #: Segments below this depth are one wildcard.
 LEVELS = 4
 #: A place is variable with at least so many children of on average fewer URLs each.
@@ -82,7 +85,7 @@ def shape(path: Column, levels: int = LEVELS) -> Column:
 
 def templates(shapes: DataFrame, levels: int = LEVELS, many: int = MANY_CHILDREN, few: int = FEW_URLS) -> DataFrame:
     """Add ``template`` to rows of ``host``, ``shape`` and ``urls``."""
-    tree = shapes.withColumn("template", F.col("shape"))
+    tree = stored(shapes.withColumn("template", F.col("shape")), "shapes")
     for level in range(levels):
         known = tree.withColumns(
             {
@@ -101,7 +104,8 @@ def templates(shapes: DataFrame, levels: int = LEVELS, many: int = MANY_CHILDREN
             F.col("variable") & F.col("child").isNotNull() & (F.col("child") != "**"), F.array_join(wild, "/")
         ).otherwise(F.col("template"))
         tree = known.join(variable, ["host", "parent"], "left").withColumn("template", replaced)
-        tree = tree.drop("parent", "child", "variable")
+        # Every level reads the one above it twice; stored, the plans do not multiply.
+        tree = stored(tree.drop("parent", "child", "variable"), "templates")
     return tree
 
 
@@ -111,22 +115,22 @@ def branches(tree: DataFrame, smoothing: float = SMOOTHING, z: float = SIMILAR_Z
         *(F.sum(name).alias(name) for name in ("urls", "labelled", "bad"))
     )
     skeleton = F.regexp_replace("template", "[^/*]+", "?")
-    own = own.withColumn("skeleton", skeleton)
-    overall = own.agg(((F.sum("bad") + 1) / (F.sum("labelled") + 2)).alias("overall"))
+    own = stored(own.withColumn("skeleton", skeleton), "branches")
+    sums = own.agg(F.coalesce(F.sum("bad"), F.lit(0)), F.coalesce(F.sum("labelled"), F.lit(0))).first()
+    overall = (sums[0] + 1) / (sums[1] + 2)
     pooled = own.groupBy("host", "skeleton").agg(F.sum("labelled").alias("all_n"), F.sum("bad").alias("all_bad"))
-    # The overall share is one row.
-    tested = own.join(pooled, ["host", "skeleton"]).join(F.broadcast(overall))
+    tested = own.join(pooled, ["host", "skeleton"])
     share = F.col("all_bad") / F.greatest("all_n", F.lit(1))
     off = F.abs(F.col("bad") - F.col("labelled") * share)
     similar = off <= z * F.sqrt(F.col("labelled") * share * (1 - share)) + 1e-9
-    tested = tested.withColumn("merged", similar)
+    tested = stored(tested.withColumn("merged", similar), "tested")
     kin = tested.where("merged").groupBy("host", "skeleton").agg(
         F.sum("labelled").alias("kin_n"), F.sum("bad").alias("kin_bad")
     )
     joined = tested.join(kin, ["host", "skeleton"], "left")
     n = F.when(F.col("merged"), F.col("kin_n")).otherwise(F.col("labelled"))
     bad = F.when(F.col("merged"), F.col("kin_bad")).otherwise(F.col("bad"))
-    purity = (bad + smoothing * F.col("overall")) / (n + smoothing)
+    purity = (bad + smoothing * F.lit(overall)) / (n + smoothing)
     return joined.withColumn("purity", purity).select(
         "host", "template", "skeleton", "urls", "labelled", "bad", "merged", "purity",
         F.when(F.col("purity") >= reject, "block").otherwise("allow").alias("verdict"),
