@@ -34,7 +34,8 @@ def value_runs(
     ``series`` names the SQL expressions to scan. A NULL breaks a run, a time gap does not.
     Columns: keys, ``sensor``, ``value``, ``start``, ``end``, ``minutes``, ``readings``.
     """
-    df = layout.spread(layout.split(df)[0]) if layout.sliced else layout.sliced_rows(df)
+    df = layout.split(df)[0]
+    df = layout.spread(df) if layout.sliced else layout.sliced_rows(df)
     window = layout.forward()
     values = [F.expr(f"double({v}) AS _v{i}") for i, v in enumerate(series.values())]
     rows = df.select(*layout.partition, "timestamp", TIE, *values)

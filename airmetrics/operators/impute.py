@@ -38,7 +38,9 @@ def drop_missing(df: DataFrame, sensors: Sequence[str]) -> DataFrame:
 
 def fill_constant(df: DataFrame, values: dict[str, float]) -> DataFrame:
     """Replace missing values by a constant per sensor (no shuffle)."""
-    return df.fillna(values) if values else df
+    if not values:
+        raise ValueError("filling needs a value for at least one sensor")
+    return df.fillna(values)
 
 
 def forward_fill(df: DataFrame, sensors: Sequence[str], layout: Layout = Layout()) -> DataFrame:

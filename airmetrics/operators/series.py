@@ -94,15 +94,15 @@ class Layout:
         return self._with_tie(self._with_slice(df).repartition(*self.partition))
 
     def split(self, df: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-        """Rows that belong to a series, and those without key or time (``None``: not sliced).
+        """Rows that belong to a series, and those without key or time.
 
-        The second scan is an ``IS NULL`` filter, which Parquet answers from its statistics.
+        The same in every layout, so that results do not depend on the size of a series. The
+        second scan is an ``IS NULL`` filter, which Parquet answers from its statistics. Rows that
+        already have their place (slice or tie-breaker) were split before: ``None``.
         """
-        if not self.sliced or SLICE in df.columns:
+        if SLICE in df.columns or TIE in df.columns:
             return df, None
-        known = F.lit(True)
-        for c in (*self.keys, "timestamp"):
-            known = known & F.col(c).isNotNull()
+        known = in_series(self.keys)
         return df.filter(known), df.filter(~known)
 
     def _with_slice(self, df: DataFrame) -> DataFrame:
@@ -149,6 +149,14 @@ class Layout:
         return df.join(edges, on=list(self.partition), how="left")
 
 
+def in_series(keys: Sequence[str]) -> Column:
+    """True for rows with a full key and a time."""
+    known = F.col("timestamp").isNotNull()
+    for c in keys:
+        known = known & F.col(c).isNotNull()
+    return known
+
+
 def series_columns(df: DataFrame, layout: Layout, values: Sequence[str] = ()) -> list[str]:
     """Key, time, the event id if there is one, and the wanted values."""
     extra = [c for c in ("event_id", TIE) if c in df.columns]
@@ -192,7 +200,8 @@ def _largest(
     wide, narrow = widths
     start = F.col("n") - F.pmod(F.col("n"), F.lit(wide))
     row = (
-        df.groupBy(*keys, floor_us(F.col("timestamp"), narrow).alias("n"))
+        df.filter(in_series(keys))
+        .groupBy(*keys, floor_us(F.col("timestamp"), narrow).alias("n"))
         .agg(F.count(F.lit(1)).alias("rows"))
         .groupBy(*keys, start.alias("w"))
         .agg(F.sum("rows").alias("rows"), F.max("rows").alias("narrow"))

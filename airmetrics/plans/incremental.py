@@ -1,10 +1,13 @@
 """Incremental runs: only the (station, day) pairs whose rows changed since the last run.
 
-Each day is run like a request for that window: rows outside it do not take part.
+A day counts as changed when its number of rows or its content differs from what the newest
+finished run saw, so corrected values and vanished rows are found too. Each day is run like a
+request for that window: rows outside it do not take part.
 """
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta, timezone
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,9 +17,11 @@ from airmetrics.config import PipelineConfig
 from airmetrics.contract import Contract
 from airmetrics.plans.stations import run_pipeline
 from airmetrics.sources.folders import path_exists
+from airmetrics.sources.readings import time_range
 from airmetrics.sources.snapshots import receipts, write_snapshots
 
-LEDGER = "station_id string, period date, rows bigint, run_id string"
+STATE = ("rows", "content_high", "content_low")
+LEDGER = "station_id string, period date, rows bigint, content_high bigint, content_low bigint, run_id string"
 PERIODS = ("station_id", "period")
 
 
@@ -25,23 +30,43 @@ def with_period(readings: DataFrame) -> DataFrame:
     return readings.withColumn("period", F.to_date("timestamp"))
 
 
-def day_counts(readings: DataFrame) -> DataFrame:
-    return with_period(readings).groupBy(*PERIODS).agg(F.count(F.lit(1)).alias("rows"))
+def day_states(readings: DataFrame) -> DataFrame:
+    """Rows per station and day, and a sum over their hashes that does not depend on order."""
+    digest = F.xxhash64(*sorted(readings.columns))
+    return (
+        with_period(readings)
+        .withColumn("_digest", digest)
+        .groupBy(*PERIODS)
+        .agg(
+            F.count(F.lit(1)).alias("rows"),
+            # Halves of the hash: their sums cannot overflow.
+            F.sum(F.shiftright("_digest", 32)).alias("content_high"),
+            F.sum(F.col("_digest").bitwiseAND(0xFFFFFFFF)).alias("content_low"),
+        )
+    )
 
 
 def read_ledger(spark: SparkSession, path: str) -> DataFrame:
-    """Row counts of the days that finished runs have covered."""
+    """What the newest finished run saw of each day."""
     if not path_exists(spark, f"{path}/done"):
         return spark.createDataFrame([], LEDGER)
     planned = spark.read.schema(LEDGER).parquet(f"{path}/planned")
-    done = spark.read.schema("run_id string").parquet(f"{path}/done")
-    return planned.join(done.distinct(), on="run_id", how="left_semi")
+    done = spark.read.schema("run_id string, finished_at timestamp").parquet(f"{path}/done")
+    done = done.groupBy("run_id").agg(F.min("finished_at").alias("finished_at"))
+    seen = F.max_by(F.struct(*STATE, "run_id"), F.struct("finished_at", "run_id")).alias("_seen")
+    return planned.join(done, on="run_id").groupBy(*PERIODS).agg(seen).select(*PERIODS, "_seen.*")
 
 
 def pending_days(readings: DataFrame, ledger: DataFrame) -> DataFrame:
-    """Days that are new, or hold another number of rows than when they were last run."""
-    counts = day_counts(readings).filter(F.col("station_id").isNotNull() & F.col("period").isNotNull())
-    return counts.join(ledger, on=[*PERIODS, "rows"], how="left_anti")
+    """Days that are new or differ from what was last run; days without rows by now have 0."""
+    now = day_states(readings).filter(F.col("station_id").isNotNull() & F.col("period").isNotNull())
+    then = ledger.select(*PERIODS, *[F.col(c).alias(f"_{c}") for c in STATE])
+    both = now.join(then, on=list(PERIODS), how="full")
+    current = [F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in STATE]
+    same = F.lit(True)
+    for c in STATE:
+        same = same & F.coalesce(c, F.lit(0)).eqNullSafe(F.col(f"_{c}"))
+    return both.filter(~same).select(*PERIODS, *current)
 
 
 def process_pending(
@@ -55,14 +80,27 @@ def process_pending(
     """Run every pending day, store its snapshots, and return their receipts.
 
     The plan is written first and counts only once the run is marked done, so a run that dies
-    half-way is simply repeated.
+    half-way is simply repeated. The scan is cut to the range of the pending days; a day whose
+    rows are all gone is stored as an empty result.
     """
     run_id = uuid4().hex
     pending = pending_days(readings, read_ledger(spark, ledger)).withColumn("run_id", F.lit(run_id))
     pending.write.mode("append").parquet(f"{ledger}/planned")
     planned = spark.read.schema(LEDGER).parquet(f"{ledger}/planned").filter(F.col("run_id") == run_id)
-    touched = with_period(readings).join(planned.select(*PERIODS), on=list(PERIODS), how="left_semi")
-    results = run_pipeline(touched, contract, config, by=PERIODS).results
+    days = planned.select(*PERIODS)
+    touched = with_period(pending_range(readings, planned)).join(days, on=list(PERIODS), how="left_semi")
+    results = run_pipeline(touched, contract, config, by=PERIODS).results_for(days)
     write_snapshots(results, path, batch_id=run_id)
-    spark.range(1).select(F.lit(run_id).alias("run_id")).write.mode("append").parquet(f"{ledger}/done")
+    marker = spark.range(1).select(F.lit(run_id).alias("run_id"), F.current_timestamp().alias("finished_at"))
+    marker.write.mode("append").parquet(f"{ledger}/done")
     return receipts(spark, path, run_id)
+
+
+def pending_range(readings: DataFrame, planned: DataFrame) -> DataFrame:
+    """The readings from the first to the last pending day, as a filter that reaches the scan."""
+    first, last = planned.agg(F.min("period"), F.max("period")).first()
+    if first is None:
+        return readings.limit(0)
+    begin = datetime(first.year, first.month, first.day, tzinfo=timezone.utc)
+    end = datetime(last.year, last.month, last.day, tzinfo=timezone.utc) + timedelta(days=1, microseconds=-1)
+    return time_range(readings, begin, end)

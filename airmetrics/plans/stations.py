@@ -83,10 +83,14 @@ class StationRun:
 
     @property
     def results(self) -> DataFrame:
-        """Nested result per station, as stored in snapshots."""
-        results = self._run.documents(self._stations)
+        """Nested result per station, as stored in snapshots; rows without station are in no result."""
+        results = self._run.documents(self._stations.filter(self._run.has_group()))
         return results if self._asked is None else self._run.with_stations(results, self._asked)
 
+    def results_for(self, groups: DataFrame) -> DataFrame:
+        """Nested results of these groups only; one without rows gets the empty report."""
+        return self._run.with_groups(self.results, groups)
+
 
 def run_pipeline(
     readings: DataFrame,
@@ -143,8 +147,11 @@ class _Run:
         return [*dict.fromkeys([*self.series, "timestamp", *extra, *self.sensors])]
 
     def outside(self, readings: DataFrame) -> DataFrame:
-        """Counts of the rows that belong to a station but to no device series."""
-        rows = readings.filter(~self.placeable() & self.has_group())
+        """Counts of the rows that belong to no device series.
+
+        Rows without station (or period) get a report row of their own, under the NULL key.
+        """
+        rows = readings.filter(~self.placeable())
         return rows.groupBy(*self.by).agg(*self.raw_counts_direct())
 
     def placeable(self) -> Column:
@@ -185,6 +192,7 @@ class _Run:
             *[count_if(F.col(s).isNull()).alias(f"null_{s}") for s in self.sensors],
             count_if(F.col("timestamp").isNull()).alias("null_timestamp"),
             count_if(F.col(DEVICE_ID).isNull()).alias("null_device_id"),
+            count_if(F.col("station_id").isNull()).alias("null_station_id"),
         ]
 
     @property
@@ -276,6 +284,7 @@ class _Run:
             *self.count_names,
             "null_timestamp",
             "null_device_id",
+            "null_station_id",
             "flat_pre",
             "flat_post",
             "reading_count",
@@ -295,7 +304,7 @@ class _Run:
         return {s: f"coalesce(try_divide(double(after_{s}), reading_count), 0D)" for s in self.sensors}
 
     def shares_before(self) -> dict[str, str]:
-        ids = {"timestamp": "null_timestamp", "station_id": "0", DEVICE_ID: "null_device_id"}
+        ids = {"timestamp": "null_timestamp", "station_id": "null_station_id", DEVICE_ID: "null_device_id"}
         counts = ids | {s: f"null_{s}" for s in self.sensors}
         return {c: f"try_divide(double({n}), rows_before)" for c, n in counts.items()}
 
@@ -364,7 +373,11 @@ class _Run:
         """Requested stations only; one without rows gets the empty report and score 0."""
         spark = results.sparkSession
         asked = spark.createDataFrame([(s,) for s in dict.fromkeys(stations)], "station_id string")
-        rows = asked.join(results, on="station_id", how="left")
+        return self.with_groups(results, asked, on=("station_id",))
+
+    def with_groups(self, results: DataFrame, asked: DataFrame, on: Sequence[str] | None = None) -> DataFrame:
+        """Results of the groups asked for; one without rows gets the empty report and score 0."""
+        rows = asked.join(results, on=list(on or self.by), how="left")
         no_map = F.create_map().cast("map<string,double>")
         zero = F.lit(0)
         quality = F.struct(

@@ -34,6 +34,13 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(hadoop)
 
 
+def delete_files(spark: SparkSession, files: list[str]) -> None:
+    """Delete files by name, on whatever file system they are."""
+    for name in files:
+        fs, hadoop = _file_system(spark, name)
+        fs.delete(hadoop, False)
+
+
 def drop_partitions_before(spark: SparkSession, path: str, column: str, day: str) -> list[str]:
     """Delete the date partitions of a folder that are older than ``day``; returns their names."""
     fs, hadoop = _file_system(spark, path)

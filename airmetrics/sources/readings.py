@@ -9,9 +9,10 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from airmetrics.compressed_air import COLUMN_ALIASES
 from airmetrics.contract import Contract
 from airmetrics.functions.time import bound_literal, parse_bound
-from airmetrics.operators.evolve import convert_units, normalise_types, rename_aliases
+from airmetrics.operators.evolve import convert_units, normalise_types, rename_aliases, select_known
 
 
 @dataclass(frozen=True)
@@ -37,11 +38,22 @@ class ReadingSource:
         if self.format == "json":
             # Text keeps bad values visible to the checks; inference would read the data twice.
             names = [c.name for c in contract.columns]
-            reader = reader.schema(", ".join(f"`{n}` string" for n in ("event_id", *names)))
+            old = {a: c for a, c in COLUMN_ALIASES.items() if c in names and a not in names}
+            reader = reader.schema(", ".join(f"`{n}` string" for n in ("event_id", *names, *old)))
+            rows = reader.load(self.path) if self.path is not None else reader.load()
+            # The schema is ours: a column stands in it whether the lines have it or not.
+            both = {c: F.coalesce(c, *[a for a in old if old[a] == c]) for c in old.values()}
+            return rows.withColumns(both).drop(*old)
         if self.format == "csv":
             reader = reader.option("header", "true")
         return reader.load(self.path) if self.path is not None else reader.load()
 
+    def columns(self, spark: SparkSession, contract: Contract) -> list[str]:
+        """Names the source really has; for JSON that takes a pass over the lines."""
+        if self.table is None and self.format == "json":
+            return spark.read.options(**self.options).json(self.path).columns
+        return self.load(spark, contract).columns
+
 
 def read_readings(
     spark: SparkSession,
@@ -50,11 +62,13 @@ def read_readings(
     stations: Sequence[str] | str | None = None,
     start: str | datetime | None = None,
     end: str | datetime | None = None,
+    strict: bool = False,
 ) -> DataFrame:
     """Contract columns of the wanted stations and the inclusive time range ``[start, end]``.
 
     All filters apply before any series work and reach the scan when the source column already
-    has its contract type. An empty result keeps its schema.
+    has its contract type. An empty result keeps its schema. Columns that neither the contract nor
+    its old names know are left out, or an error with ``strict``.
     """
     if isinstance(source, str):
         source = ReadingSource(source)
@@ -62,6 +76,14 @@ def read_readings(
         day, units, df = source.day_column, source.units, source.load(spark, contract)
     else:
         day, units, df = None, {}, source
+    if strict:
+        have = source.columns(spark, contract) if isinstance(source, ReadingSource) else df.columns
+        select_known(
+            rename_aliases(spark.createDataFrame([], ", ".join(f"`{c}` string" for c in have))),
+            contract,
+            strict=True,
+            allowed=("event_id", *([day] if day else [])),
+        )
     df = rename_aliases(df)
     if stations is not None:
         wanted = [stations] if isinstance(stations, str) else list(stations)

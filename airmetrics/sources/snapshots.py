@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from datetime import datetime, timezone
+from urllib.parse import unquote
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +12,7 @@ from pyspark.sql import types as T
 
 from airmetrics.functions.time import bound_literal, parse_bound
 from airmetrics.operators.metrics import METRICS
-from airmetrics.sources.folders import path_exists
+from airmetrics.sources.folders import delete_files, path_exists
 
 # A result is replaced by a later one for the same station and slot. The slot is the window the
 # data spans, or the period when results are kept per period (its span may grow with late data).
@@ -92,14 +93,17 @@ def snapshot_rows(
     at = computed_at or datetime.now(timezone.utc)
     if "period" in results.columns:
         slot = F.concat(F.lit("period "), F.col("period").cast("string"))
+        # The period never moves; the window of its rows may, and with it the newest version.
+        month = F.date_format("period", "yyyy-MM")
     else:
+        month = F.date_format("window_start_ts", "yyyy-MM")
         slot = F.concat_ws("/", "window_start", "window_end")
     rows = results.withColumn("slot", slot).withColumns(
         {
             "id": F.xxhash64(*KEY),
             "computed_at": F.lit(at),
             "batch_id": F.lit(batch_id or uuid4().hex),
-            "window_month": F.coalesce(F.date_format("window_start_ts", "yyyy-MM"), F.lit(EMPTY_MONTH)),
+            "window_month": F.coalesce(month, F.lit(EMPTY_MONTH)),
         }
     )
     return rows.select(*SNAPSHOT.names)
@@ -168,7 +172,8 @@ def read_snapshots(
     if station_id is not None:
         rows = rows.filter(F.col("station_id") == station_id)
     if (until := parse_bound(end)) is not None:
-        # A window that starts in a later month cannot overlap, whichever version is current.
+        # A window or period of a later month cannot overlap, whichever version is current: all
+        # versions of a key lie in one month.
         month = F.col("window_month")
         rows = rows.filter((month <= f"{until.astimezone(timezone.utc):%Y-%m}") | (month == EMPTY_MONTH))
     rows = overlapping(newest(rows), start, end)
@@ -178,13 +183,19 @@ def read_snapshots(
 
 
 def compact_snapshots(spark: SparkSession, path: str, months: list[str] | None = None) -> None:
-    """Rewrite months so that only current versions remain; other months are not touched."""
+    """Rewrite months so that only current versions remain; other months are not touched.
+
+    The current versions are appended as new files, then the files that were read are deleted.
+    A version that another run appends meanwhile lies in a file of its own and stays; until the
+    end a version may be there twice, which the newest-version rule does not show.
+    """
     versions = snapshot_versions(spark, path)
     if months is not None:
         versions = versions.filter(F.col("window_month").isin(months))
+    read = [unquote(f) for f in versions.inputFiles()]
     current = newest(versions).hint("rebalance", "window_month")
-    writer = current.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-    writer.partitionBy("window_month").parquet(path)
+    current.write.mode("append").partitionBy("window_month").parquet(path)
+    delete_files(spark, read)
 
 
 def snapshot_metrics(

@@ -131,6 +131,25 @@ INTERPOLATED = interpolated("i", "row")
 HOURLY = bucketed("h", "i", "1 hour")
 CLEAN = [VALID, INTERPOLATED, HOURLY]
 METRICS = [*CLEAN, metrics("m", "h")]
+# Some rows without station, device or time: they belong to no series and stay as they are.
+SOME_NULL = """n0 as (select * replace (case when event_id % 13 <> 0 then station_id end as station_id,
+  case when event_id % 17 <> 0 then device_id end as device_id,
+  case when event_id % 19 <> 0 then timestamp end as timestamp) from r)"""
+PLACED = "station_id is not null and device_id is not null and timestamp is not null"
+FFILLED = each("round(cast({s} as double) + 1e-10, 6) as ffill_{s}")
+NULL_ROWS = "with " + ",\n".join(
+    [
+        READINGS.strip(),
+        SOME_NULL,
+        VALID.replace("v as", "w as").replace("from r)", "from n0)"),
+        f"v as (select * from w where {PLACED})",
+        INTERPOLATED.strip(),
+        FFILL,
+        f"rest as (select * from w where not ({PLACED}))",
+        f"lines as (select {ROW_KEYS}, {ROUNDED} from i union all select {ROW_KEYS}, {ROUNDED} from rest)",
+        f"steps as (select event_id, {FFILLED} from f union all select event_id, {FFILLED} from rest)",
+    ]
+) + "\nselect * from lines join steps using (event_id)"
 ROWS_OUT = f"select {ROW_KEYS}, {ROUNDED} from "
 BUCKETS_OUT = f"select {BUCKET_KEYS}, {ROUNDED} from "
 FLATLINES_OUT = (
@@ -425,6 +444,33 @@ ORACLE: dict[str, str] = {
         ],
         "select station_id, period, rows from c where rows <> seen",
     ),
+    "incremental_corrected": sql(
+        [], f"select station_id, {DAY} as period, count(*) as rows from r where {DAY} = date '2024-01-10' group by all"
+    ),
+    "incremental_reverted": sql(
+        [],
+        f"""select station_id, {DAY} as period, count(case when {DAY} <> date '2024-01-12' then 1 end) as rows
+  from r where {DAY} in (date '2024-01-10', date '2024-01-12') group by all""",
+    ),
+    "null_rows_whole": NULL_ROWS,
+    "null_rows_sliced": NULL_ROWS,
+    "dq_report_nulls": sql(
+        [SOME_NULL],
+        "select station_id, count(*) as rows_before, "
+        + ", ".join(
+            f"{r6(f'avg(case when {c} is null then 1.0 else 0.0 end)')} as missing_{c}"
+            for c in ("station_id", "device_id", "timestamp")
+        )
+        + " from n0 group by all",
+    ),
+    "snapshot_late_version": sql(
+        [],
+        f"""select distinct 'after' as read, station_id, concat('period ', {DAY}) as slot from r
+  where timestamp >= timestamp '2024-01-15'""",
+    ),
+    "read_json_aliases": sql([], ROWS_OUT + "r"),
+    "empty_station": """select 'station_99' as station_id, '' as window_start, '' as window_end,
+  cast(0 as double) as data_quality_score, 0 as devices""",
     "enriched": sql(
         [
             "seen as (select station_id, count(distinct device_id) as devices_seen, count(*) as rows from r group by all)",

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from airmetrics.compressed_air import COLUMN_ALIASES
 from airmetrics.config import PipelineConfig
 from airmetrics.operators.evolve import (
     contract_checks,
@@ -38,7 +39,7 @@ from airmetrics.plans.incremental import pending_days, process_pending, read_led
 from airmetrics.plans.stations import process, run_pipeline
 from airmetrics.sources.events import dead_letters, good_events, long_readings, parse_events
 from airmetrics.sources.folders import shared_folder
-from airmetrics.sources.readings import read_readings
+from airmetrics.sources.readings import ReadingSource, read_readings
 from airmetrics.sources.snapshots import (
     compact_snapshots,
     read_snapshots,
@@ -393,7 +394,104 @@ def incremental_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, ledger = shared_folder(spark, "snapshots"), shared_folder(spark, "ledger")
     first = rows.filter(F.col("timestamp") < F.lit(datetime(2024, 1, 20, 6, tzinfo=timezone.utc)))
     process_pending(spark, first, path, ledger, CONTRACT, HOURLY)
-    return pending_days(rows, read_ledger(spark, ledger)).drop("run_id")
+    return pending_days(rows, read_ledger(spark, ledger)).select("station_id", "period", "rows")
+
+
+def _corrected(rows: DataFrame) -> DataFrame:
+    """Other values on 10 January, as many rows as before."""
+    changed = F.to_date("timestamp") == F.lit("2024-01-10").cast("date")
+    return rows.withColumn("motor_speed", F.when(changed, F.col("motor_speed") + 1).otherwise(F.col("motor_speed")))
+
+
+def incremental_corrected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days to do again after a run, when one was corrected without a change of its row count."""
+    rows = readings(spark, sf_dir)
+    path, ledger = shared_folder(spark, "snapshots"), shared_folder(spark, "ledger")
+    process_pending(spark, rows, path, ledger, CONTRACT, HOURLY)
+    return pending_days(_corrected(rows), read_ledger(spark, ledger)).select("station_id", "period", "rows")
+
+
+def incremental_reverted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A day was run, corrected and run again; then the correction is taken back, and one day is gone."""
+    rows = readings(spark, sf_dir)
+    path, ledger = shared_folder(spark, "snapshots"), shared_folder(spark, "ledger")
+    process_pending(spark, rows, path, ledger, CONTRACT, HOURLY)
+    process_pending(spark, _corrected(rows), path, ledger, CONTRACT, HOURLY)
+    now = rows.filter(F.to_date("timestamp") != F.lit("2024-01-12").cast("date"))
+    return pending_days(now, read_ledger(spark, ledger)).select("station_id", "period", "rows")
+
+
+def _with_nulls(rows: DataFrame) -> DataFrame:
+    """Some rows lose their station, device or time; some of the others lie next to them."""
+    n = F.col("event_id")
+    return rows.withColumns(
+        {
+            "station_id": F.when(n % 13 != 0, F.col("station_id")),
+            "device_id": F.when(n % 17 != 0, F.col("device_id")),
+            "timestamp": F.when(n % 19 != 0, F.col("timestamp")),
+        }
+    )
+
+
+def _null_rows(spark: SparkSession, sf_dir: str, chunk: str | None) -> DataFrame:
+    """Interpolated and forward filled readings, some of which belong to no series."""
+    rows = null_out_of_range(_with_nulls(readings(spark, sf_dir)), CONTRACT)
+    layout = Layout.of(rows, chunk)
+    lines = interpolate(rows, SENSORS, layout).select(*ROW_KEYS, *SENSORS)
+    steps = forward_fill(rows, SENSORS, layout).select("event_id", *[F.col(s).alias(f"ffill_{s}") for s in SENSORS])
+    return flat(lines.join(steps, "event_id"), *ROW_KEYS, *SENSORS, *[f"ffill_{s}" for s in SENSORS])
+
+
+def null_rows_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _null_rows(spark, sf_dir, None)
+
+
+def null_rows_sliced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _null_rows(spark, sf_dir, "1d")
+
+
+def dq_report_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row is counted in some report, those without a station under the null station."""
+    rows = _with_nulls(readings(spark, sf_dir))
+    report = run_pipeline(rows, CONTRACT, HOURLY).quality
+    shares = ("station_id", "device_id", "timestamp")
+    return report.select(
+        "station_id", "rows_before", *[rounded(F.col(f"missing_before_{c}")).alias(f"missing_{c}") for c in shares]
+    )
+
+
+def snapshot_late_version(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A day is stored without rows, later with rows; a read that ends the month before shows neither."""
+    rows = readings(spark, sf_dir)
+    path, ledger = shared_folder(spark, "snapshots"), shared_folder(spark, "ledger")
+    process_pending(spark, rows, path, ledger, CONTRACT, HOURLY)
+    process_pending(spark, rows.filter("timestamp < '2024-01-15'"), path, ledger, CONTRACT, HOURLY)
+    process_pending(spark, rows, path, ledger, CONTRACT, HOURLY)
+    compact_snapshots(spark, path)
+    before = read_snapshots(spark, path, end="2023-12-31T00:00:00Z").select(F.lit("before").alias("read"), "station_id", "slot")
+    after = read_snapshots(spark, path, start="2024-01-15T00:00:00Z").select(F.lit("after").alias("read"), "station_id", "slot")
+    return before.unionByName(after)
+
+
+def read_json_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Readings stored as JSON lines under old column names, read back through the contract."""
+    folder = shared_folder(spark, "json")
+    old = {c: a for a, c in COLUMN_ALIASES.items() if c in SENSORS}
+    rows = readings(spark, sf_dir).withColumnsRenamed(old)
+    rows.withColumn("timestamp", F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")).write.json(folder)
+    back = read_readings(spark, ReadingSource(folder, format="json"), CONTRACT, strict=True)
+    return flat(back.withColumn("event_id", F.col("event_id").cast("long")), *ROW_KEYS, *SENSORS)
+
+
+def empty_station(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A station without readings: an empty report, stored and read back."""
+    contract = CONTRACT
+    rows = read_readings(spark, readings(spark, sf_dir), contract, stations="station_99")
+    path = shared_folder(spark, "snapshots")
+    process(spark, rows, path, contract, HOURLY, stations=["station_99"])
+    return read_snapshots(spark, path, "station_99").select(
+        "station_id", "window_start", "window_end", "data_quality_score", F.size("metrics.devices").alias("devices")
+    )
 
 
 def enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -538,6 +636,14 @@ QUERIES: dict[str, Query] = {
     "snapshot_overlap": snapshot_overlap,
     "snapshot_device": snapshot_device,
     "incremental_pending": incremental_pending,
+    "incremental_corrected": incremental_corrected,
+    "incremental_reverted": incremental_reverted,
+    "null_rows_whole": null_rows_whole,
+    "null_rows_sliced": null_rows_sliced,
+    "dq_report_nulls": dq_report_nulls,
+    "snapshot_late_version": snapshot_late_version,
+    "read_json_aliases": read_json_aliases,
+    "empty_station": empty_station,
     "enriched": enriched,
     "stream_dead_letter": stream_dead_letter,
     "stream_dedupe": stream_dedupe,
