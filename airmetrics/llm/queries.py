@@ -83,7 +83,7 @@ def op9_string_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A toxicity score for every document; a fifth of the labels is held out of the learning."""
     documents = read_table(spark, sf_dir, "documents")
     labels = read_table(spark, sf_dir, "labels")
-    learned = toxicity.fit(labelled_texts(documents, labels.where(id_remainder(F.col("doc_id"), 5) != 0)))
+    learned = toxicity.fit(documents, labels.where(id_remainder(F.col("doc_id"), 5) != 0))
     held_out = F.coalesce(id_remainder(F.col("doc_id"), 5) == 0, F.lit(False))
     scored = toxicity.with_toxicity(documents.select("doc_id", "text"), learned)
     return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
@@ -95,12 +95,6 @@ def op10_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", "rank", "vec_id", "score")
 
 
-def labelled_texts(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """``text`` and ``toxic`` of the labelled documents; the worse of two labels counts."""
-    known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    return documents.select("doc_id", "text").join(known, "doc_id").select("text", "toxic")
-
-
 QUERIES = {
     "op1_language_filters": op1_language_filters,
     "op2_layout_text": op2_layout_text,

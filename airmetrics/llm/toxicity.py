@@ -2,13 +2,14 @@
 
 The kernel compares two words by the letter subsequences they share: four letters in order, word
 ends included, within a span of six, each weighted by decay per letter of span. A letter put in
-or left out, punctuation inside a word and letters spaced apart so change little. A sentence is as
-toxic as its worst word, a text as its worst sentence.
+or left out, punctuation inside a word and letters spaced apart so change little. A sentence is
+judged by its worst words, a text by its worst sentence and by the sum and density of all of them.
 
 The machine is trained on sentences of labelled texts. Those of clean texts are clean. Of each
 toxic text the word that the present machine finds worst stands for its toxic sentences, and so
 do words that several toxic texts share and no clean one has; a few rounds of choosing and
-training settle which. Last, they also train with a letter put in. Words are mapped to the span
+training settle which. A toxic text in which nothing is found, as happens to wrong labels, teaches
+nothing. Last, they also train with a letter put in. Words are mapped to the span
 of the landmarks (Nyström), where the squared-hinge machine is solved by Newton steps. As the
 kernel has explicit features, the trained machine folds into one weight per subsequence, so that
 scoring reads a table instead of comparing with every landmark.
@@ -17,14 +18,14 @@ Defined results: null, empty and letterless texts get the score of a text withou
 subsequence. Long texts are scored whole, in slices of bounded size cut between words. Repeated
 rows are scored alike; other columns pass through. Without labels of both kinds all scores are 0.
 
-Fitting reads a bounded sample: of each label at most about ``sample_bytes`` of whole texts,
-taken by a hash of the text, each no longer than an eighth of it. Scoring covers all rows.
+Fitting reads a bounded sample: at most about ``sample_bytes`` of toxic and three times as much of
+clean texts, whole ones taken by a hash of the text, each no longer than an eighth of the clean part. Scoring covers all rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from itertools import combinations
 
 import numpy as np
@@ -32,14 +33,17 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from airmetrics.llm.common import _tables, code_points, mix
+from airmetrics.llm.common import _tables, code_points, mix, shingle_set
+from airmetrics.llm.jaccard_join import tree_keys
 
 LETTERS = 4
 SPAN = 6
 DECAY = 0.7
 TABLE = 1 << 20
-LANDMARKS = 256
-SAMPLE_BYTES = 2_500_000
+LANDMARKS = 128
+SAMPLE_BYTES = 1_500_000
+#: Clean texts in the sample, as a multiple of that.
+CLEAN_FACTOR = 3
 ROUNDS = 4
 _SLICE = 1 << 18
 _SPACE = np.uint32(32)
@@ -104,20 +108,23 @@ def _word_margins(codes: np.ndarray, table: np.ndarray) -> np.ndarray:
 
 @dataclass
 class ToxicityModel:
-    """Weight per subsequence, the bias, and the logistic curve from margin to probability."""
+    """Weight per subsequence, the bias, and the logistic curve from evidence to probability."""
 
     table: np.ndarray
-    bias: float
-    slope: float
-    offset: float
-
-    def margin(self, text: str | None) -> float:
-        """Of the worst word."""
-        worst = [_word_margins(codes, self.table).max() for codes in _slices(text)]
-        return max([0.0, *worst]) + self.bias
+    bias: float = 0.0
+    slope: np.ndarray = field(default_factory=lambda: np.zeros(3))
+    offset: float = -60.0
+
+    def evidence(self, text: str | None) -> np.ndarray:
+        """Of a text: the margin of its worst word, the sum of all positive ones, and their density."""
+        worst, total, count = 0.0, 0.0, 0
+        for codes in _slices(text):
+            margins = _word_margins(codes, self.table) + self.bias
+            worst, total, count = max(worst, margins.max()), total + margins[margins > 0].sum(), count + len(margins)
+        return np.array([worst, np.log1p(total), np.log1p(100.0 * total / (count + 100.0))])
 
     def score(self, text: str | None) -> float:
-        return float(1.0 / (1.0 + np.exp(-np.clip(self.slope * self.margin(text) + self.offset, -60, 60))))
+        return float(1.0 / (1.0 + np.exp(-np.clip(self.evidence(text) @ self.slope + self.offset, -60, 60))))
 
 
 def _words(codes: np.ndarray) -> list[str]:
@@ -145,38 +152,57 @@ def _solve(x: np.ndarray, y: np.ndarray, cost: np.ndarray, ridge: float = 1.0) -
     keep[-1] = 1e-3
     active = np.ones(len(y), dtype=bool)
     for _ in range(30):
-        rows = x[active].astype(np.float64)
-        scaled = rows * cost[active, None]
-        weights = np.linalg.solve(scaled.T @ rows + np.diag(keep), scaled.T @ y[active])
-        now = y * (x @ weights) < 1
+        square, side = np.diag(keep), np.zeros(x.shape[1])
+        for at in range(0, len(y), 8192):
+            own = np.flatnonzero(active[at : at + 8192]) + at
+            rows = x[own].astype(np.float64)
+            scaled = rows * cost[own, None]
+            square += scaled.T @ rows
+            side += scaled.T @ y[own]
+        weights = np.linalg.solve(square, side)
+        now = y * (x @ weights.astype(np.float32)) < 1
         if np.array_equal(now, active):
             break
         active = now
     return weights
 
 
-def _logistic(margin: np.ndarray, label: np.ndarray) -> tuple[float, float]:
-    """Slope and offset of the likeliest logistic curve, with one added case of either label."""
-    x = np.column_stack([np.append(margin, [margin.min(), margin.max()]), np.ones(len(margin) + 2)])
-    y = np.append(label, [1.0, 0.0])
-    share = np.clip(y.mean(), 1e-3, 1 - 1e-3)
-    cost = np.where(y == 1, 0.5 / share, 0.5 / (1 - share))
-    beta = np.zeros(2)
-    for _ in range(50):
+def _logistic(evidence: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, float]:
+    """Slopes and offset of the likeliest logistic curve."""
+    centre, scale = evidence.mean(axis=0), evidence.std(axis=0) + 1e-9
+    x = np.column_stack([(evidence - centre) / scale, np.ones(len(evidence))])
+    beta, ridge = np.zeros(x.shape[1]), np.full(x.shape[1], 0.003 * len(label))
+    ridge[-1] = 1e-3
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-        hessian = (x * (cost * p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(2)
-        step = np.linalg.solve(hessian, x.T @ (cost * (y - p)) - 1e-3 * beta)
-        beta += step
+        hessian = (x * (p * (1 - p))[:, None]).T @ x + np.diag(ridge)
+        step = np.linalg.solve(hessian, x.T @ (label - p) - ridge * beta)
+        beta += np.clip(step, -2, 2)
         if np.abs(step).max() < 1e-8:
             break
-    return float(beta[0]), float(beta[1])
+    slope = beta[:-1] / scale
+    return slope, float(beta[-1] - slope @ centre)
+
+
+def _once(texts: list[str | None], labels: list[int]) -> list[int]:
+    """One text of each group of copies and near copies of a label, which say nothing new."""
+    seen: set[tuple[int, int]] = set()
+    kept = []
+    for at, (text, label) in enumerate(zip(texts, labels)):
+        keys = {(label, key) for key in tree_keys(shingle_set(text), 8, 2).tolist()}
+        if not keys & seen:
+            kept.append(at)
+        seen |= keys
+    return kept
 
 
 def train(texts: list[str | None], labels: list[int], landmarks: int = LANDMARKS, rounds: int = ROUNDS) -> ToxicityModel:
     """Train on a sample that fits one machine; every fourth text only calibrates."""
+    once = _once(texts, labels)
+    texts, labels = [texts[k] for k in once], [labels[k] for k in once]
     label = np.array(labels)
     if len(set(labels)) < 2:
-        return ToxicityModel(np.zeros(TABLE, np.float32), 0.0, 0.0, -60.0)
+        return ToxicityModel(np.zeros(TABLE, np.float32))
     rank = np.zeros(len(label), dtype=int)
     for kind in (0, 1):
         rank[label == kind] = np.arange(np.count_nonzero(label == kind))
@@ -184,7 +210,7 @@ def train(texts: list[str | None], labels: list[int], landmarks: int = LANDMARKS
     own = [sorted({w for codes in _slices(t) for w in _words(codes)}) if on else [] for t, on in zip(texts, learning)]
     vocabulary = sorted({w for words in own for w in words})
     if not vocabulary:
-        return ToxicityModel(np.zeros(TABLE, np.float32), 0.0, 0.0, -60.0)
+        return ToxicityModel(np.zeros(TABLE, np.float32))
     number = {w: k for k, w in enumerate(vocabulary)}
     held = [np.array([number[w] for w in words], dtype=int) for words in own]
     seen = np.zeros((2, len(vocabulary)))
@@ -226,54 +252,71 @@ def train(texts: list[str | None], labels: list[int], landmarks: int = LANDMARKS
 
     x = mapped(vocabulary)
 
-    clean = seen[0] > 0
     toxic_texts = [words for words, kind in zip(held, label) if kind == 1 and len(words)]
-    # Words met in several toxic texts and in no clean one stand for their sentences in any case.
-    plain = ~clean & (seen[1] >= 3)
+    # Words far more frequent in toxic texts stand for their sentences in any case, if chance would
+    # hardly bring that about for any word of the vocabulary.
+    size = [sum(len(texts[k]) for k in np.flatnonzero(learning & (label == kind))) for kind in (0, 1)]
+    chance = min(0.9, max(0.05, size[1] / max(1, sum(size))))
+    often = (seen[1] + 0.5) / size[1] > 8 * (seen[0] + 0.5) / size[0]
+    plain = often & (seen[1] - 2 * seen[0] >= np.log(len(vocabulary)) / -np.log(chance))
+    clean = (seen[0] > 0) & ~plain
     margin = telling.copy()
     solved = np.zeros(x.shape[1])
-    for _ in range(rounds):
+    for turn in range(rounds):
         worst = np.zeros(len(vocabulary))
         for words in toxic_texts:
-            worst[words[np.argmax(margin[words])]] += 1
+            top = words[np.argmax(margin[words])]
+            # A toxic text in which nothing is found may be wrongly labelled.
+            worst[top] += margin[top] > 0 and (turn > 0 or not plain.any())
             worst[words[plain[words]]] += 1
         positive = (worst > 0) & ~clean
         used = positive | clean
         if not positive.any():
             break
-        y = np.where(positive[used], 1.0, -1.0)
-        cost = np.where(positive, worst / worst[positive].sum() * 2000.0, 1.0)[used]
-        solved = _solve(x[used], y, cost)
-        margin = x @ solved
+        # A word of neither kind costs nothing.
+        y = np.where(positive, 1.0, -1.0)
+        cost = np.where(positive, worst / worst[positive].sum() * 2000.0, used.astype(float))
+        solved = _solve(x, y, cost)
+        margin = x @ solved.astype(np.float32)
     if np.any(solved):
         # Virtual examples: the words settled on, each with one letter put in.
-        found = (margin > 0) & ~clean & (seen[1] > 1)
-        chosen = [vocabulary[k] for k in np.flatnonzero(positive | found) if len(vocabulary[k]) > LETTERS]
+        chosen = [vocabulary[k] for k in np.flatnonzero(positive) if len(vocabulary[k]) > LETTERS]
         altered = sorted({w for word in chosen for w in _with_a_letter(word)} - {vocabulary[k] for k in np.flatnonzero(clean)})
         more = mapped(altered) if altered else x[:0]
         spread = np.full(len(altered), 5000.0 / max(1, len(altered)))
-        solved = _solve(np.concatenate([x[used], more]), np.append(y, np.ones(len(altered))), np.append(cost, spread))
+        solved = _solve(np.concatenate([x, more]), np.append(y, np.ones(len(altered))), np.append(cost, spread))
     folded = base @ (root @ solved[:-1])
     table = np.zeros(TABLE, dtype=np.float32)
     table[known] = folded
-    model = ToxicityModel(table, float(solved[-1]), 1.0, 0.0)
+    model = ToxicityModel(table, float(solved[-1]))
     apart = ~learning if len(set(label[~learning])) == 2 else learning
-    margins = np.array([model.margin(t) for t, on in zip(texts, apart) if on])
-    model.slope, model.offset = _logistic(margins, label[apart])
+    evidence = np.array([model.evidence(t) for t, on in zip(texts, apart) if on])
+    model.slope, model.offset = _logistic(evidence, label[apart])
     return model
 
 
-def fit(labelled: DataFrame, sample_bytes: int = SAMPLE_BYTES, **options) -> ToxicityModel:
-    """Learn from rows of ``text`` and ``toxic`` (0 or 1); null labels teach nothing."""
-    size = F.octet_length("text").cast("long")
-    known = labelled.select("text", F.col("toxic").cast("int").alias("toxic"))
-    known = known.where((F.col("toxic").isin(0, 1)) & (size > 0) & (size <= sample_bytes // 8))
-    sizes = known.groupBy("toxic").agg(F.sum(size).alias("bytes")).collect()
+def fit(documents: DataFrame, labels: DataFrame, sample_bytes: int = SAMPLE_BYTES, **options) -> ToxicityModel:
+    """Learn from ``doc_id`` and ``text``, and labels of ``doc_id`` and ``toxic`` (0 or 1).
+
+    Null labels teach nothing; of two labels for an id the worse one counts.
+    """
+    known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where("toxic in (0, 1)")
+    known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    rows = documents.select(
+        "doc_id",
+        F.octet_length("text").cast("long").alias("bytes"),
+        F.crc32(F.col("text").cast("binary")).alias("place"),
+        "text",
+    ).where(F.col("bytes").between(1, CLEAN_FACTOR * sample_bytes // 8))
+    # Sizes are joined without the texts, and then only the texts that can be in the sample.
+    sizes = rows.select("doc_id", "bytes").join(known, "doc_id").groupBy("toxic").agg(F.sum("bytes").alias("bytes"))
+    share = {0: CLEAN_FACTOR * sample_bytes, 1: sample_bytes}
+    limits = {row.toxic: int(min(1.0, share[row.toxic] / row.bytes) * (1 << 32)) for row in sizes.collect()}
     taken = F.lit(False)
-    for row in sizes:
-        limit = int(min(1.0, sample_bytes / row.bytes) * (1 << 32))
-        taken = taken | ((F.col("toxic") == row.toxic) & (F.crc32(F.col("text").cast("binary")) < limit))
-    sample = known.where(taken).toPandas()
+    for toxic, limit in limits.items():
+        taken = taken | ((F.col("toxic") == toxic) & (F.col("place") < limit))
+    chosen = rows.where(F.col("place") < max(limits.values(), default=0)).join(known, "doc_id")
+    sample = chosen.where(taken).select("text", "toxic").toPandas()
     sample = sample.drop_duplicates().sort_values(["toxic", "text"], kind="stable")
     return train(sample.text.tolist(), sample.toxic.tolist(), **options)
 

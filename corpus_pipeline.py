@@ -12,12 +12,11 @@ from pyspark.sql import functions as F
 
 from airmetrics.llm import decontamination, jaccard_join, language_id, packing, toxicity
 from airmetrics.llm.common import read_table, stored
-from airmetrics.llm.queries import labelled_texts
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the string kernel does not find toxic."""
-    model = toxicity.fit(labelled_texts(docs, read_table(spark, sf_dir, "labels")))
+    model = toxicity.fit(docs, read_table(spark, sf_dir, "labels"))
     return docs.where(toxicity.scorer(spark, model)("text") < 0.5)
 
 

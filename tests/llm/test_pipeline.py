@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from airmetrics.llm import language_id, toxicity
 from airmetrics.llm.common import read_table, stored
-from airmetrics.llm.queries import labelled_texts
 from tests.llm.helpers import SF, documents, prose
 from tests.llm.test_decontamination import _brute as leaks
 from tests.llm.test_jaccard_join import _brute as groups
@@ -17,7 +16,7 @@ def test_stages_match_brute_force(spark):
     docs = read_table(spark, SF, "documents")
     rows = {r.doc_id: r.text for r in docs.collect()}
     columns = docs.columns
-    model = toxicity.fit(labelled_texts(docs, read_table(spark, SF, "labels")))
+    model = toxicity.fit(docs, read_table(spark, SF, "labels"))
     want = {d: t for d, t in rows.items() if model.score(t) < 0.5}
     for (_, stage), after in zip(corpus_pipeline.STAGES, range(5)):
         if after == 1:

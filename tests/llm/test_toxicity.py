@@ -61,7 +61,7 @@ def test_defined_results(spark):
     got = [(r.doc_id, r.predicted) for r in toxicity.with_toxicity(docs, model).collect()]
     assert got == [(1, 0), (2, 1), (2, 1), (None, 0)]
     assert toxicity.with_toxicity(docs.limit(0), model).count() == 0
-    unlabelled = toxicity.fit(docs.select("text", F.lit(None).cast("int").alias("toxic")))
+    unlabelled = toxicity.fit(docs, docs.select("doc_id", F.lit(None).cast("int").alias("toxic")))
     assert unlabelled.score("vylkrunt") < 1e-9
 
 
