@@ -198,6 +198,16 @@ def drop_dead_letters_before(spark: SparkSession, tables: StreamTables, day: str
     return drop_partitions_before(spark, tables.dead, "ingest_day", day)
 
 
+def drop_bronze_before(spark: SparkSession, tables: StreamTables, day: str) -> list[str]:
+    """Retention: remove bronze readings of days before ``day``; they can no longer be replayed."""
+    return drop_partitions_before(spark, tables.bronze, "day", day)
+
+
+def drop_snapshots_before(spark: SparkSession, tables: StreamTables, month: str) -> list[str]:
+    """Retention: remove snapshots of months (``yyyy-MM``) before ``month``; empty windows stay."""
+    return drop_partitions_before(spark, tables.snapshots, "window_month", month)
+
+
 def batch_status(parsed: DataFrame) -> DataFrame:
     """One row of counts for a parsed batch."""
     return parsed.agg(
@@ -226,14 +236,19 @@ def processing_status(spark: SparkSession, tables: StreamTables) -> DataFrame:
 
 
 def backlog(query: StreamingQuery) -> dict:
-    """What the source reports as still waiting, with the current rates."""
+    """What the source reports as still waiting, with the current rates.
+
+    ``dropped_late`` counts rows behind the watermark that the last batch left out of its state;
+    bronze keeps them, and ``replay`` brings them back.
+    """
     progress = query.lastProgress
     if progress is None:
-        return {"batch_id": None, "input_rows": 0, "watermark": None, "sources": []}
+        return {"batch_id": None, "input_rows": 0, "watermark": None, "dropped_late": 0, "sources": []}
     return {
         "batch_id": progress["batchId"],
         "input_rows": progress["numInputRows"],
         "watermark": (progress.get("eventTime") or {}).get("watermark"),
+        "dropped_late": sum(s.get("numRowsDroppedByWatermark") or 0 for s in progress["stateOperators"]),
         "sources": [
             {"source": s["description"], "waiting": dict(s.get("metrics") or {})}
             for s in progress["sources"]

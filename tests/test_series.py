@@ -13,6 +13,7 @@ from airmetrics.functions.time import DAY, HOUR
 from airmetrics.operators.flatlines import flatline_counts, flatline_periods, flatlines_ending_here
 from airmetrics.operators.gaps import reading_gaps
 from airmetrics.operators.impute import drop_missing, fill_constant, forward_fill, impute, interpolate
+from airmetrics.operators.resample import fill_grid
 from airmetrics.operators.series import SUB, Layout, measure_layout, with_previous
 from tests.conftest import SENSORS
 
@@ -145,6 +146,8 @@ def test_drop_and_fill(frame):
     assert drop_missing(df, SENSORS).count() == 1
     assert fill_constant(df, {"motor_speed": 3.0}).filter("motor_speed = 3").count() == 1
     assert impute(df, "fill", SENSORS, fill_values={"motor_speed": 3.0}).count() == 2
+    with pytest.raises(ValueError, match="value"):
+        impute(df, "fill", SENSORS)
     with pytest.raises(ValueError):
         impute(df, "guess", SENSORS)
 
@@ -157,6 +160,25 @@ def test_rows_without_key_or_time_stay(frame):
         assert with_previous(df, layout, {"p": F.col(PRESSURE)}).count() == 4
 
 
+def test_rows_without_key_or_time_take_no_part(frame):
+    """The same values in every layout: strangers neither give nor take."""
+    rows = [(None, "d", {PRESSURE: 9}), (0, "d", {}), (10, "d", {PRESSURE: 5}), (20, "d", {}), (30, "d", {PRESSURE: 7})]
+    rows += [(0, None, {PRESSURE: 1}), (10, None, {}), (20, None, {PRESSURE: 3})]
+    df = frame(rows)
+    for layout in (Layout(), Layout(slice_us=DAY), Layout(slice_us=600_000_000), Layout.of(df, "auto")):
+        lines = {r.event_id: r[PRESSURE] for r in interpolate(df, [PRESSURE], layout).collect()}
+        assert [lines[f"e{i:04d}"] for i in range(8)] == [9, None, 5, 6, 7, 1, None, 3]
+        steps = {r.event_id: r[PRESSURE] for r in forward_fill(df, [PRESSURE], layout).collect()}
+        assert [steps[f"e{i:04d}"] for i in range(8)] == [9, None, 5, 5, 7, 1, None, 3]
+        before = {r.event_id: r.prev_p for r in with_previous(df, layout, {"p": F.col(PRESSURE)}).collect()}
+        assert [before[f"e{i:04d}"] for i in range(8)] == [None, None, None, 5, None, None, None, None]
+
+
+def test_measuring_leaves_out_rows_without_key_or_time(frame):
+    df = frame([(None, "d", {})] * 10 + [(k, None, {}) for k in range(10)] + [(0, "d", {})])
+    assert Layout.of(df, "auto", target_rows=5) == Layout()
+
+
 @pytest.mark.parametrize(
     ("minutes", "values", "want"),
     [
@@ -219,3 +241,15 @@ def test_input_order_does_not_matter(frame, contract, seed):
 def test_forward_fill_twice_is_once(frame):
     df = forward_fill(frame(skewed_rows(1, 150)), SENSORS, Layout(slice_us=DAY))
     assert sorted(map(str, df.collect())) == sorted(map(str, forward_fill(df, SENSORS).collect()))
+
+
+def test_a_stray_old_reading_on_a_fine_grid(spark):
+    """One reading a day before the others, buckets of a second: rows in small arrays, no join."""
+    rows = spark.createDataFrame(
+        [("s", "d", "2024-01-01T00:00:00", 1.0), ("s", "d", "2024-01-02T00:00:00", 2.0), ("s", "d", "2024-01-02T00:00:03", 3.0)],
+        "station_id string, device_id string, t string, value double",
+    ).selectExpr("station_id", "device_id", "cast(t as timestamp) as timestamp", "value")
+    grid = fill_grid(rows, "1s")
+    assert grid.count() == 86_404 and grid.filter("value is not null").count() == 3
+    assert grid.select("timestamp").distinct().count() == 86_404
+    assert "Join" not in grid._jdf.queryExecution().executedPlan().toString()

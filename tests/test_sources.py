@@ -6,9 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from airmetrics.config import PipelineConfig
-from airmetrics.plans.incremental import pending_days, process_pending, read_ledger
+from airmetrics.plans.incremental import pending_days, pending_range, process_pending, read_ledger
 from airmetrics.plans.stations import process, run_pipeline
-from airmetrics.sources.folders import drop_partitions_before, shared_folder
+from airmetrics.sources.folders import delete_files, drop_partitions_before, shared_folder
 from airmetrics.sources.readings import ReadingSource, empty_readings, read_readings
 from airmetrics.sources.snapshots import (
     compact_snapshots,
@@ -129,6 +129,75 @@ def test_incremental_runs_only_what_changed(spark, contract, frame, folder):
     assert sorted(map(tuple, current)) == [("period 2024-01-01", 2), ("period 2024-01-02", 3)]
 
 
+def test_corrected_and_vanished_days_are_pending(spark, contract, frame, folder):
+    path, ledger = folder("snap"), folder("ledger")
+    first = frame([(0, "d", {PRESSURE: 7}), (1440, "d", {PRESSURE: 7})], event_ids=False)
+    second = frame([(0, "d", {PRESSURE: 8}), (1440, "d", {PRESSURE: 7})], event_ids=False)
+    for rows in (first, second):
+        process_pending(spark, rows, path, ledger, contract, HOURLY)
+    # The same count, other values; and back to what an older run saw.
+    assert [str(r.period) for r in pending_days(first, read_ledger(spark, ledger)).collect()] == ["2024-01-01"]
+    gone = frame([(1440, "d", {PRESSURE: 7})], event_ids=False)
+    assert process_pending(spark, gone, path, ledger, contract, HOURLY).count() == 1
+    day = read_snapshots(spark, path).filter("slot = 'period 2024-01-01'").first()
+    assert (day.window_start, day.metrics.devices, day.data_quality_score) == ("", [], 0.0)
+    assert process_pending(spark, gone, path, ledger, contract, HOURLY).count() == 0
+
+
+def test_the_scan_is_cut_to_the_pending_days(spark, frame, folder):
+    path, ledger = folder("rows"), folder("ledger")
+    frame([(0, "d", {PRESSURE: 7}), (1440, "d", {PRESSURE: 7})]).write.parquet(path)
+    rows = spark.read.parquet(path)
+    planned = pending_days(rows, read_ledger(spark, ledger)).filter("period = '2024-01-02'")
+    plan = pending_range(rows, planned)._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [IsNotNull(timestamp), GreaterThanOrEqual(timestamp,2024-01-02" in plan
+
+
+def test_compaction_keeps_what_comes_meanwhile(spark, contract, frame, folder, monkeypatch):
+    path = folder("snap")
+    rows = frame([(0, "d", {PRESSURE: 7, "motor_speed": 900})])
+    for _ in range(2):
+        write_snapshots(run_pipeline(rows, contract, HOURLY).results, path)
+    late = run_pipeline(frame([(60, "d", {PRESSURE: 8})], station="s2"), contract, HOURLY).results
+
+    def delete(session, files):
+        write_snapshots(late, path)
+        delete_files(session, files)
+
+    monkeypatch.setattr("airmetrics.sources.snapshots.delete_files", delete)
+    compact_snapshots(spark, path)
+    assert sorted(r.station_id for r in snapshot_versions(spark, path).collect()) == ["s1", "s2"]
+
+
+def test_an_empty_version_is_not_shown_for_a_later_one(spark, contract, frame, folder):
+    path, ledger = folder("snap"), folder("ledger")
+    march = 60 * 24 * 64
+    full, none = frame([(march, "d", {PRESSURE: 7})]), frame([])
+    for rows in (full, none, full):
+        process_pending(spark, rows, path, ledger, contract, HOURLY)
+    assert read_snapshots(spark, path, end="2024-02-15T00:00:00Z").count() == 0
+    assert read_snapshots(spark, path, end="2024-03-15T00:00:00Z").first().window_start.startswith("2024-03-05")
+
+
+def test_json_lines_under_old_names(spark, contract, folder):
+    path = folder("json")
+    line = '{"timestamp": "2024-01-01T00:00:00Z", "station_id": "s", "device_id": "d", "pressure_bar": 7.5, "rpm": "900"%s}'
+    spark.createDataFrame([(line % "",), (line % ', "discharge_pressure": 6, "note": 1',)], "value string").write.text(path)
+    source = ReadingSource(path, format="json")
+    rows = read_readings(spark, source, contract).orderBy(PRESSURE).collect()
+    assert [(r[PRESSURE], r.motor_speed) for r in rows] == [(6.0, 900.0), (7.5, 900.0)]
+    with pytest.raises(ValueError, match="note"):
+        read_readings(spark, source, contract, strict=True)
+
+
+def test_rows_without_station_are_reported(spark, contract, frame):
+    rows = frame([(0, "d", {PRESSURE: 7})]).unionByName(frame([(0, "d", {}), (None, None, {})], station=None))
+    run = run_pipeline(rows, contract, HOURLY)
+    got = {r.station_id: (r.rows_before, r.missing_before_station_id) for r in run.quality.collect()}
+    assert got == {"s1": (1, 0.0), None: (2, 1.0)}
+    assert [r.station_id for r in run.results.collect()] == ["s1"]
+
+
 def test_a_run_that_died_is_repeated(spark, contract, frame, folder):
     ledger = folder("ledger")
     rows = frame([(0, "d", {PRESSURE: 7})])
