@@ -17,7 +17,7 @@ nearer than among the sample, so the recall over all rows is higher than that.
 
 Defined results: vectors that are null, empty, zero, of another length than most, or that hold a
 null or non-finite component take no part. Ties go to the smaller id. Repeated vectors are ranked
-one by one; rows that share an id are the same vector to a query of that id. Without usable
+one by one; of rows that share an id the nearest counts, and to a query of that id none. Without usable
 vectors the result is empty. Other columns are not read.
 """
 
@@ -219,5 +219,6 @@ def nearest(
         .mapInArrow(_search(codes, k), schema)
     )
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    best = found.dropDuplicates(["query_id", "vec_id"]).withColumn("rank", F.row_number().over(order))
+    once = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    best = once.withColumn("rank", F.row_number().over(order))
     return best.where(F.col("rank") <= k)

@@ -134,7 +134,9 @@ def _words(codes: np.ndarray) -> list[str]:
 def _kernel_rows(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Word number, place and normalised weight of every subsequence of the words."""
     codes = code_points(" " + " ".join(words) + " ")
-    parts = [(w, p, np.full(len(w), weight, np.float32)) for w, p, weight in _features(codes)]
+    none = np.empty(0, dtype=np.int64)
+    parts = [(none, none, none.astype(np.float32))]
+    parts += [(w, p, np.full(len(w), weight, np.float32)) for w, p, weight in _features(codes)]
     at, place, weight = (np.concatenate(x) for x in zip(*parts))
     norm = np.sqrt(np.bincount(at, weights=weight**2, minlength=len(words)))
     return at, place, (weight / np.maximum(norm, 1e-6)[at]).astype(np.float32)
@@ -227,6 +229,8 @@ def train(texts: list[str | None], labels: list[int], landmarks: int = LANDMARKS
     marks = np.concatenate([ordered[:half], rest[:: max(1, len(rest) // max(1, landmarks - half))][: landmarks - half]])
     at, place, weight = _kernel_rows([vocabulary[k] for k in marks])
     known, column = np.unique(place, return_inverse=True)
+    if not len(known):
+        return ToxicityModel(np.zeros(TABLE, np.float32))
     base = np.zeros((len(known), len(marks)), dtype=np.float32)
     np.add.at(base, (column, at), weight)
     value, vector = np.linalg.eigh((base.T @ base).astype(np.float64))

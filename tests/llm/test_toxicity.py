@@ -65,6 +65,11 @@ def test_defined_results(spark):
     assert unlabelled.score("vylkrunt") < 1e-9
 
 
+def test_tiny_samples_train_something():
+    for texts, labels in (([], []), (["a"], [1]), (["a", "b"], [0, 1]), (["", "?"], [0, 1]), (["abc def", "ghi"], [0, 1])):
+        assert 0 <= toxicity.train(texts, labels).score("abc") <= 1
+
+
 def test_held_out_labels(spark):
     sf = SF.replace("0.001", "0.1")
     found = op9_string_kernel(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out")
