@@ -256,6 +256,19 @@ def backlog(query: StreamingQuery) -> dict:
     }
 
 
+def waiting_files(spark: SparkSession, source: str, tables: StreamTables) -> int:
+    """Files of a file source that no batch has taken up yet, from the checkpoint's file log."""
+    plain = "regexp_replace(%s, '^file:/+', 'file:/')"
+    # Only names are read, not the content of the files.
+    there = spark.read.format("binaryFile").load(source).select(F.expr(f"{plain % 'path'} AS path"))
+    log = f"{tables.checkpoint}/sources/0"
+    if not path_exists(spark, log):
+        return there.count()
+    taken = "url_decode(replace(get_json_object(value, '$.path'), '+', '%2B'))"
+    lines = spark.read.text(log).filter(F.col("value").startswith("{"))
+    return there.join(lines.select(F.expr(f"{plain.replace('%s', taken)} AS path")), "path", "left_anti").count()
+
+
 def _write_batch(df: DataFrame, path: str, batch_id: int, *partitions: str) -> None:
     """Write one batch's rows; a repeated batch replaces its own partitions and nothing else."""
     rows = df.withColumn("batch_id", F.lit(batch_id).cast("bigint"))

@@ -23,6 +23,7 @@ from airmetrics.streaming.consumer import (
     StreamTables,
     backfill,
     backlog,
+    waiting_files,
     batch_handler,
     drop_dead_letters_before,
     processing_status,
@@ -99,7 +100,12 @@ def test_consumer_equals_batch(spark, contract, frame):
     land(spark, src, "b", texts[:40] + texts[150:][::-1] + BROKEN[:1])
     query = start_stream(json_files_stream(spark, f"{src}/*", 1), base, contract, HOURLY)
     query.awaitTermination()
-    assert backlog(query)["input_rows"] >= 0
+    assert backlog(query)["input_rows"] >= 0 and backlog(query)["dropped_late"] == 0
+    assert waiting_files(spark, f"{src}/*", tables) == 0
+    land(spark, src, "c d", texts[:1])
+    land(spark, src, "e", texts[:1])
+    assert waiting_files(spark, f"{src}/*", tables) == 2
+    assert waiting_files(spark, f"{src}/*", StreamTables(shared_folder(spark, "new"), contract)) == 4
 
     def by_day(rows):
         return {(str(r.window_start), str(r.data_quality), str(r.metrics)) for r in rows}
