@@ -47,6 +47,23 @@ def stored(frame: DataFrame, purpose: str) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(folder)
 
 
+#: Hash buckets of ids that a broadcast may hold, whatever the number of ids.
+ID_BUCKETS = 1 << 20
+
+
+def maybe_among(frame: DataFrame, ids: DataFrame, key: str, maybe: bool = True) -> DataFrame:
+    """Rows whose ``key`` may be among ``ids``, or with ``maybe=False`` those where it surely is not.
+
+    Ids are reduced to the hash buckets they fall into, at most ``ID_BUCKETS`` numbers, so the
+    broadcast has a fixed bound. It spares wide rows a shuffle when few ids matter; with very many
+    ids all rows are "maybe", and the exact join that follows does the work.
+    """
+    bucket = F.pmod(F.xxhash64(key), F.lit(ID_BUCKETS)).cast("int").alias("_bucket")
+    buckets = ids.select(bucket).distinct()
+    how = "left_semi" if maybe else "left_anti"
+    return frame.withColumn("_bucket", bucket).join(F.broadcast(buckets), "_bucket", how).select(*frame.columns)
+
+
 def ship_package(spark: SparkSession) -> None:
     """Send this package to the executors, unless they find it by the path the driver was given."""
     root = Path(__file__).resolve().parents[2]

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from airmetrics.llm.common import SIMILARITY, mix, shingle_set, stored
+from airmetrics.llm.common import SIMILARITY, maybe_among, mix, shingle_set, stored
 from airmetrics.llm.components import components
 
 TREES = 24
@@ -245,7 +245,8 @@ def near_duplicates(
 
     # Shingles of the classes that have something to verify.
     wanted = active.select("class").distinct().join(classes.select("class", "copy_of"), "class")
-    sets = kept.join(wanted.withColumnRenamed("copy_of", "doc_id"), "doc_id").select("class", "text")
+    wanted = stored(wanted.withColumnRenamed("copy_of", "doc_id"), "wanted")
+    sets = maybe_among(kept, wanted, "doc_id").join(wanted, "doc_id").select("class", "text")
     sets = sets.mapInArrow(_shingles_of, "class binary, shingles binary").dropDuplicates(["class"])
     linked = stored(
         active.join(sets, "class")

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from airmetrics.llm import decontamination, jaccard_join, language_id, packing, toxicity
-from airmetrics.llm.common import read_table, stored
+from airmetrics.llm.common import maybe_among, read_table, stored
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +34,10 @@ def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -
         ),
         "decisions",
     )
-    kept = docs.join(by_id.where("not stays"), "doc_id", "left_anti")
+    gone = by_id.where("not stays").select("doc_id")
+    # Most documents cannot be among those that go; only the others are shuffled to find out.
+    sure = maybe_among(docs, gone, "doc_id", maybe=False)
+    kept = sure.unionByName(maybe_among(docs, gone, "doc_id").join(gone, "doc_id", "left_anti").select(docs.columns))
     again = by_id.where("stays and rows > 1").select("doc_id")
     if again.isEmpty():
         return kept.select(docs.columns)
