@@ -58,10 +58,12 @@ def maybe_among(frame: DataFrame, ids: DataFrame, key: str, maybe: bool = True)
     broadcast has a fixed bound. It spares wide rows a shuffle when few ids matter; with very many
     ids all rows are "maybe", and the exact join that follows does the work.
     """
-    bucket = F.pmod(F.xxhash64(key), F.lit(ID_BUCKETS)).cast("int").alias("_bucket")
-    buckets = ids.select(bucket).distinct()
+    def bucket(column: Column) -> Column:
+        return F.pmod(F.xxhash64(column), F.lit(ID_BUCKETS)).cast("int")
+
+    buckets = ids.select(bucket(F.col(key)).alias("_bucket")).distinct()
     how = "left_semi" if maybe else "left_anti"
-    return frame.withColumn("_bucket", bucket).join(F.broadcast(buckets), "_bucket", how).select(*frame.columns)
+    return frame.join(F.broadcast(buckets), bucket(frame[key]) == buckets["_bucket"], how)
 
 
 def ship_package(spark: SparkSession) -> None:
