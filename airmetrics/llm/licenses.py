@@ -1,8 +1,12 @@
 """Licence scan by sentence rules.
 
-A text is cut into sentences, each is normalised (lower case, runs of other characters than
-letters and digits become one space) and looked up in a table of known licence sentences. What
-remains is the text's sequence of sentence identifiers. Ordered rules then match identifier
+A text is normalised (lower case, runs of other characters than letters and digits become one
+space) with its places of rest kept. A sentence stops at ``.``, ``!`` or ``?`` before white space
+and at a blank line, where lines of nothing but comment marks are blank too. At the end of a line
+and at ``: `` or ``; `` it may stop or go on, so that wrapped notices, in comments as well, are read
+like those on one line, and a clause that stands alone is still a sentence. Sentences of a table of
+known licence sentences are found between such places, the leftmost and then the longest first.
+What remains is the text's sequence of sentence identifiers. Ordered rules then match identifier
 sequences to licences: a rule that matches takes its sentences away, so that a longer notice is
 not counted again as the shorter one inside it. Known sentences that no rule uses are reported.
 
@@ -110,15 +114,21 @@ RULES = [
     ("Proprietary", ["reserved"]),
 ]
 
-#: A sentence ends with a line, or with a mark that is followed by a blank.
-_ENDS = r"\n|\r|[.!?;:][ \t]"
+#: Capitals mark the places of rest in lower-cased text: ``H`` where a sentence stops, ``S`` where it may.
+_REST = [("\n[^a-z0-9\n]+", "\n"), ("[.!?]\\s+|\n\n+", "H"), ("[:;][ \t]+|\n", "S"), ("[^a-z0-9HS]+", " ")]
 
 
 def sequence(text: str | Column = "text", sentences: dict[str, list[str]] = SENTENCES) -> Column:
     """The identifiers of the known sentences, in order, as ``<a><b>``."""
     column = F.col(text) if isinstance(text, str) else text
-    parts = F.split(F.lower(F.coalesce(column, F.lit(""))), _ENDS)
-    words = F.transform(parts, lambda p: F.trim(F.regexp_replace(p, "[^a-z0-9]+", " ")))
+    lines = F.translate(F.replace(F.lower(F.coalesce(column, F.lit(""))), F.lit("\r\n"), F.lit("\n")), "\r", "\n")
+    marked = F.concat(F.lit("\n\n"), lines, F.lit("\n\n"))
+    for pattern, mark in _REST:
+        marked = F.regexp_replace(marked, pattern, mark)
+    known = sorted({t for texts in sentences.values() for t in texts}, key=lambda t: (-len(t), t))
+    either = "|".join(t.replace(" ", "[ S]++") for t in known)
+    found = F.regexp_extract_all(marked, F.lit(f"(?<=[HS] ?)(?:{either})(?= ?[HS])"), F.lit(0))
+    words = F.transform(found, lambda s: F.regexp_replace(s, "[ S]+", " "))
     return F.array_join(F.transform(words, lambda s: _known(s, sentences)), "")
 
 
