@@ -8,8 +8,9 @@ every code within r. Retrieved vectors are then ranked by their exact cosine.
 
 Rows are dealt into blocks of bounded size, each with its own index over all its rows, and every
 query visits every block: the queries are a stated set. Each block answers with its best few; the
-answers meet per query. A block where the radius holds fewer than k vectors widens it step by
-step, so that a query always gets k neighbours where there are as many.
+answers meet per query. A block where the radius holds fewer than k ids besides the query's own
+widens it step by step, so that a query always gets k neighbours where there are as many. Rows of
+one id are dealt by their vectors too, and many equal ones are one row, so no id fills a block.
 
 The rotation and the radius are fitted on a bounded sample. The radius is the one within which the
 sample's queries find the target share of their true neighbours; neighbours among all rows are
@@ -17,7 +18,8 @@ nearer than among the sample, so the recall over all rows is higher than that.
 
 Defined results: vectors that are null, empty, zero, of another length than most, or that hold a
 null or non-finite component take no part. Ties go to the smaller id. Repeated vectors are ranked
-one by one; of rows that share an id the nearest counts, and to a query of that id none. Without usable
+one by one; of rows that share an id the nearest counts and takes one place, and to a query of that
+id none. Without usable
 vectors the result is empty. Other columns are not read.
 """
 
@@ -83,8 +85,11 @@ def learn(sample: np.ndarray, k: int, target: float = TARGET_RECALL) -> BinaryCo
 class MultiIndex:
     """An inverted list per substring over the codes of one block."""
 
-    def __init__(self, codes: np.ndarray):
+    def __init__(self, codes: np.ndarray, ids: np.ndarray | None = None):
         self.codes = codes
+        self.ids = np.arange(len(codes)) if ids is None else ids
+        known = np.unique(self.ids)
+        self.repeats, self.known = len(known) < len(self.ids), len(known)
         self.order = [np.argsort(codes[:, j], kind="stable") for j in range(codes.shape[1])]
         self.starts = [
             np.searchsorted(codes[order, j], np.arange(257)) for j, order in enumerate(self.order)
@@ -102,14 +107,20 @@ class MultiIndex:
         rows = np.flatnonzero(found)
         return rows[_distances(code, self.codes[rows]) <= radius]
 
-    def at_least(self, code: np.ndarray, radius: int, count: int) -> np.ndarray:
-        """As ``within``, with the radius widened until ``count`` rows or all are found."""
+    def others(self, rows: np.ndarray, own: int) -> int:
+        """How many ids besides ``own`` the rows have."""
+        ids = self.ids[rows]
+        ids = ids[ids != own]
+        return len(np.unique(ids)) if self.repeats else len(ids)
+
+    def at_least(self, code: np.ndarray, radius: int, count: int, own: int) -> np.ndarray:
+        """As ``within``, with the radius widened until ``count`` ids besides ``own`` or all are found."""
         bits = SUBSTRING_BITS * self.codes.shape[1]
         rows = self.within(code, radius)
-        while len(rows) < min(count, len(self.codes)) and radius < bits:
+        while radius < bits and self.others(rows, own) < min(count, self.known):
             radius += 2
             rows = self.within(code, radius)
-        return rows
+        return rows[self.ids[rows] != own]
 
 
 def cosines(query: np.ndarray, vectors: np.ndarray) -> np.ndarray:
@@ -127,12 +138,14 @@ def _search(codes: BinaryCodes, k: int):
     def answer(ids: np.ndarray, vectors: np.ndarray, index: MultiIndex, query_ids, queries) -> pa.RecordBatch:
         out = [[], [], []]
         for query_id, query, code in zip(query_ids, queries, codes.encode(queries)):
-            rows = index.at_least(code, codes.radius, k + 1)
-            rows = rows[ids[rows] != query_id]
+            rows = index.at_least(code, codes.radius, k, query_id)
             if not len(rows):
                 continue
             score = cosines(query, vectors[rows])
-            best = np.lexsort((ids[rows], -score))[:k]
+            best = np.lexsort((ids[rows], -score))
+            if index.repeats:
+                best = best[np.sort(np.unique(ids[rows[best]], return_index=True)[1])]
+            best = best[:k]
             out[0].append(np.full(len(best), query_id))
             out[1].append(ids[rows[best]])
             out[2].append(score[best])
@@ -163,7 +176,8 @@ def _search(codes: BinaryCodes, k: int):
                     continue
                 if ready is None:
                     own = np.concatenate(held_vectors)
-                    ready = (np.concatenate(held_ids), own, MultiIndex(codes.encode(own)))
+                    known = np.concatenate(held_ids)
+                    ready = (known, own, MultiIndex(codes.encode(own), known))
                 yield answer(*ready, ids[first:last], vectors[first:last])
 
     return search
@@ -197,14 +211,22 @@ def nearest(
     rows = rows.where(F.size("vector") == length)
     share = min(1.0, SAMPLE_ROWS / count)
     taken = rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 32)) < int(share * (1 << 32))).select("vec_id", "vector")
-    sample = taken.limit(2 * SAMPLE_ROWS).toPandas()
+    # One row of each id: copies are no neighbours to learn a radius from.
+    sample = taken.groupBy("vec_id").agg(F.min("vector").alias("vector")).limit(2 * SAMPLE_ROWS).toPandas()
     sample = sample.sort_values("vec_id", kind="stable")
     if sample.empty:
         sample = rows.limit(SAMPLE_ROWS).toPandas()
     codes = learn(np.array(sample.vector.tolist(), dtype=np.float64), k, target_recall)
     blocks = -(-count // block_rows)
-    dealt = rows.select(
-        F.pmod(F.xxhash64(F.col("vec_id"), F.lit(1)), F.lit(blocks)).cast("int").alias("block"),
+    # Equal rows of an id go to one block; where they are many, one stands for all.
+    place = F.xxhash64("vec_id", "vector", F.lit(1))
+    many = rows.groupBy(place.alias("place")).count().where(F.col("count") > max(1, block_rows // 8))
+    many = [row.place for row in many.collect()]
+    held = rows
+    if many:
+        held = rows.where(~place.isin(many)).unionByName(rows.where(place.isin(many)).dropDuplicates(["vec_id", "vector"]))
+    dealt = held.select(
+        F.pmod(place, F.lit(blocks)).cast("int").alias("block"),
         F.lit(False).alias("asks"),
         "vec_id",
         "vector",

@@ -65,6 +65,19 @@ def test_equal_vectors_in_a_hot_group(spark):
     assert [r.vec_id for r in got] == [0, 1, 2, 3, 4]
 
 
+def test_copies_of_an_id_take_one_place(spark):
+    """The nearest id ten times, the query's own id twenty times, an id with more rows than a block."""
+    rng = np.random.default_rng(11)
+    rows = [(k, [1.0, 0.1 * k, 0.0, 0.0], "") for k in range(1, 8)]
+    rows += [(1, [1.0, 0.1 + 0.001 * k, 0.0, 0.0], "") for k in range(1, 10)] + [(0, [1.0, 0.0, 0.0, 0.0], "")]
+    copies = [(0, [1.0, -0.001 * k, 0.0, 0.0], "") for k in range(1, 20)]
+    far = [(100 + k, (rng.normal(size=4) - [3, 0, 0, 0]).tolist(), "") for k in range(40)]
+    hot = [(99, [-1.0, 0.001 * k, 1.0, 0.0], "") for k in range(200)] + [(99, [-1.0, 0.0, 1.0, 0.0], "")] * 200
+    for some, block_rows in ((rows + far, 8192), (rows + copies + far, 8192), (rows + copies + far + hot, 64)):
+        got = nearest.nearest(_frame(spark, some), F.col("vec_id") == 0, block_rows=block_rows).orderBy("rank").collect()
+        assert [(r.rank, r.vec_id) for r in got] == [(k, k) for k in range(1, 6)]
+
+
 def test_query_recall(spark):
     rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect()]
     want = {(q, i) for q, best in _brute(rows, 50).items() for _, i in best}
