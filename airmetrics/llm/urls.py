@@ -24,10 +24,11 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from airmetrics.llm.common import stored
 
-#: Segments below this depth are one wildcard.
+#: Segments below this depth are one wildcard on hosts that have no label there.
 LEVELS = 4
 #: A place is variable with at least so many children of on average fewer URLs each.
 MANY_CHILDREN = 20
@@ -75,18 +76,34 @@ def matching_rule(host: Column, path: Column, rules: Sequence[Rule]) -> Column:
     return found if found is not None else F.lit(None).cast("struct<rule:string,verdict:string>")
 
 
-def shape(path: Column, levels: int = LEVELS) -> Column:
-    """The first segments, those with a digit as ``*``, and ``**`` for what is deeper."""
-    every = F.slice(F.split(path, "/"), 2, levels)
-    wild = F.transform(every, lambda s: F.when(s.rlike("[0-9]"), "*").otherwise(s))
-    deeper = F.size(F.split(path, "/")) > levels + 1
-    return F.array_join(F.when(deeper, F.array_append(wild, F.lit("**"))).otherwise(wild), "/")
+def shape(path: Column) -> Column:
+    """All segments, those with a digit as ``*``."""
+    every = F.split(path, "/")
+    every = F.slice(every, 2, F.size(every))
+    return F.array_join(F.transform(every, lambda s: F.when(s.rlike("[0-9]"), "*").otherwise(s)), "/")
+
+
+def opened(shapes: DataFrame, levels: int = LEVELS) -> DataFrame:
+    """Add the ``template`` to begin with: the shape, with ``**`` for what is deep on hosts without a label there."""
+    segments = F.split("shape", "/")
+    deep = F.size(segments) > levels
+    reached = shapes.where(deep & (F.col("labelled") > 0)).select("host", F.lit(True).alias("reached")).distinct()
+    cut = F.array_join(F.array_append(F.slice(segments, 1, levels), F.lit("**")), "/")
+    template = F.when(deep & F.col("reached").isNull(), cut).otherwise(F.col("shape"))
+    return shapes.join(reached, "host", "left").withColumn("template", template).drop("reached")
+
+
+def depth(tree: DataFrame, many: int = MANY_CHILDREN) -> int:
+    """The deepest level at which a place can have so many children: a host needs as many rows that reach it."""
+    reach = tree.groupBy("host", F.size(F.split("template", "/")).alias("size")).agg(F.countDistinct("template").alias("n"))
+    below = F.sum("n").over(Window.partitionBy("host").orderBy(F.desc("size")))
+    return reach.withColumn("below", below).where(F.col("below") >= many).agg(F.max("size")).first()[0] or 0
 
 
 def templates(shapes: DataFrame, levels: int = LEVELS, many: int = MANY_CHILDREN, few: int = FEW_URLS) -> DataFrame:
-    """Add ``template`` to rows of ``host``, ``shape`` and ``urls``."""
-    tree = stored(shapes.withColumn("template", F.col("shape")), "shapes")
-    for level in range(levels):
+    """Add ``template`` to rows of ``host``, ``shape``, ``urls`` and ``labelled``."""
+    tree = stored(opened(shapes, levels), "shapes")
+    for level in range(depth(tree, many)):
         known = tree.withColumns(
             {
                 "parent": F.array_join(F.slice(F.split("template", "/"), 1, level), "/") if level else F.lit(""),
@@ -99,7 +116,7 @@ def templates(shapes: DataFrame, levels: int = LEVELS, many: int = MANY_CHILDREN
         variable = places.where((F.col("children") >= many) & (F.col("below") < few * F.col("children")))
         variable = variable.select("host", "parent", F.lit(True).alias("variable"))
         split = F.split("template", "/")
-        wild = F.concat(F.slice(split, 1, level), F.array(F.lit("*")), F.slice(split, level + 2, levels + 1))
+        wild = F.concat(F.slice(split, 1, level), F.array(F.lit("*")), F.slice(split, level + 2, F.size(split)))
         replaced = F.when(
             F.col("variable") & F.col("child").isNotNull() & (F.col("child") != "**"), F.array_join(wild, "/")
         ).otherwise(F.col("template"))
@@ -154,7 +171,7 @@ def judge(
     cut = pages.select(F.col(key), host.alias("host"), path.alias("path"))
     cut = cut.withColumns(
         {
-            "shape": shape(F.col("path"), levels),
+            "shape": shape(F.col("path")),
             "label_id": F.expr("try_cast(regexp_extract(path, '([0-9]+)[^0-9]*$', 1) as bigint)"),
         }
     )

@@ -50,6 +50,28 @@ def test_bad_templates_are_rejected(spark):
     assert {r.template for r in got if r.path.startswith("/user/")} == {"user/*/about"}
 
 
+def test_a_bad_branch_at_depth_six(spark):
+    urls = [f"http://h.net/a/b/c/d/e/{('good', 'bad')[k % 2]}/{k}" for k in range(120)]
+    urls += [f"http://h.net/a/b/c/d/e/user/{chr(97 + k % 26)}{chr(97 + k // 26)}/about" for k in range(60)]
+    urls += ["http://h.net/a/b/c/d/e/good/9998", "http://h.net/a/b/c/d/e/bad/9999", "http://o.net/a/b/c/d/e/bad/9997"]
+    labels = spark.createDataFrame([(k, k % 2) for k in range(120)], "label_id long, bad long")
+    got = {(r.host, r.path): r for r in judge(_pages(spark, list(enumerate(urls))), labels).collect()}
+    assert len(got) == len(urls)
+    for (host, path), row in got.items():
+        if host == "h.net" and "/user/" not in path:
+            assert row.verdict == ("block" if "/bad/" in path else "allow"), path
+    assert {r.template for (_, path), r in got.items() if "/user/" in path} == {"a/b/c/d/e/user/*/about"}
+    unlabelled = got["o.net", "/a/b/c/d/e/bad/9997"]
+    assert unlabelled.template == "a/b/c/d/**" and unlabelled.purity == 0.5
+
+
+def test_one_endless_path_does_not_deepen_the_work(spark):
+    pages = _pages(spark, [(1, "http://h.net/" + "x/" * 600 + "7")])
+    labels = spark.createDataFrame([(7, 1)], "label_id long, bad long")
+    row = judge(pages, labels).first()
+    assert row.template == "x/" * 600 + "*" and row.purity > 0.5
+
+
 def test_similar_branches_share_their_labels(spark):
     """/a/* has too few labels to judge alone; its kin has the same share of bad ones."""
     urls = [f"http://h.net/a/{k}" for k in range(4)] + [f"http://h.net/b/{k + 4}" for k in range(80)]
