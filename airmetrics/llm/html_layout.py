@@ -3,13 +3,14 @@
 A tolerant tree builder supplies the tags that authors may leave out (``</li>``, ``</p>``,
 ``</td>``, ``<tr>`` and so on). Visibility rules drop what a browser does not show: heads, scripts
 and other tags that are never drawn, ``hidden`` attributes, inline styles, and simple selectors of
-the page's own style sheets. The renderer keeps blocks apart (blank lines around paragraphs,
+the page's own style sheets. Of drawings the ``text`` elements are shown, where they stand or are
+used, and of formulas all but annotations; a ``dialog`` is shown when open. The renderer keeps blocks apart (blank lines around paragraphs,
 headings, lists and tables), marks and indents list items, keeps preformatted text, and pads table
 cells so that columns are aligned.
 
 Defined results: a null page has null text, an empty page or one without visible text an empty
 text. Unclosed tags, stray end tags and broken markup never fail; a ``<`` that opens no tag is
-text. Tags nested deeper than 200 are drawn flat at that depth, with all their text. Long pages
+text. An element that a drawing uses several times is drawn once. Tags nested deeper than 200 are drawn flat at that depth, with all their text. Long pages
 are read whole. Repeated rows are rendered alike; other columns pass through.
 """
 
@@ -29,13 +30,13 @@ MAX_DEPTH = 200
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 UNSEEN = frozenset(
-    "head title meta link base script style template noscript iframe object embed audio video canvas svg math map "
-    "datalist noembed noframes param source track area rp dialog".split()
+    "head title meta link base script style template noscript iframe object embed audio video canvas map "
+    "datalist noembed noframes param source track area rp".split()
 )
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre figure fieldset hr".split())
 BLOCK = SPACED | frozenset(
     "html body div section article nav header footer main aside address form li dt dd tr td th thead tbody tfoot "
-    "caption figcaption details summary center legend option optgroup hgroup search menu".split()
+    "caption figcaption details summary center legend option optgroup hgroup search menu dialog".split()
 )
 #: A start tag ends open elements of these kinds, unless one of the second set lies between.
 CLOSES = {
@@ -56,6 +57,21 @@ ENDS_PARAGRAPH = BLOCK - {"td", "th", "tr", "option", "optgroup", "html", "body"
 BOUNDARY = frozenset({"table", "td", "th", "caption", "button", "object"})
 HEAD_ONLY = frozenset("title meta link base script style template noscript head".split())
 
+FOREIGN = frozenset({"svg", "math"})
+#: Inside these, foreign content holds HTML again.
+HTML_AGAIN = frozenset("foreignobject desc title annotation-xml mi mo mn ms mtext".split())
+#: HTML tags that end foreign content which was left open.
+BREAKS_OUT = frozenset(
+    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta "
+    "nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split()
+)
+FOREIGN_UNSEEN = {
+    "svg": frozenset("title desc metadata defs symbol clippath mask pattern marker script style template".split()),
+    "math": frozenset("annotation annotation-xml mphantom script style template".split()),
+}
+#: Parts of a formula that are drawn apart.
+APART = frozenset("mfrac mtable mtr mlabeledtr mtd mspace".split())
+
 _TOKEN = re.compile(
     r"<!--(?:>|->|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<",
@@ -91,8 +107,18 @@ class Tree:
         self.root = Node("html")
         self.open = [self.root]
         self.hidden: set[tuple[str, str, str]] = set()
+        self.by_id: dict[str, Node] = {}
         self._build(page)
 
+    def foreign(self) -> int:
+        """The place among the open elements of the drawing or formula one is in, else 0."""
+        for at in range(len(self.open) - 1, 0, -1):
+            if self.open[at].tag in FOREIGN:
+                return at
+            if self.open[at].tag in HTML_AGAIN:
+                break
+        return 0
+
     def _close(self, kinds: set[str] | frozenset[str], between: set[str] | frozenset[str]) -> None:
         """Close the outermost open element of these kinds above the nearest boundary."""
         cut = None
@@ -106,6 +132,11 @@ class Tree:
             del self.open[cut:]
 
     def _start(self, tag: str, attributes: dict[str, str], closed: bool) -> None:
+        if at := self.foreign():
+            if tag not in BREAKS_OUT:
+                self._put(Node(tag, attributes), closed)
+                return
+            del self.open[at:]
         if tag in ("html", "body"):
             self._close({"head"}, set())
             known = self.root if tag == "html" else next((n for n in self.open if n.tag == "body"), None)
@@ -120,8 +151,12 @@ class Tree:
             self._close(*CLOSES[tag])
         if tag in ("td", "th") and self.open[-1].tag in ("table", "thead", "tbody", "tfoot"):
             self._push(Node("tr"))
-        node = Node(tag, attributes)
-        if tag in VOID or closed and tag not in BLOCK:
+        self._put(Node(tag, attributes), tag in VOID or closed and tag not in BLOCK)
+
+    def _put(self, node: Node, closed: bool) -> None:
+        if "id" in node.attributes:
+            self.by_id.setdefault(node.attributes["id"], node)
+        if closed:
             self.open[-1].children.append(node)
         else:
             self._push(node)
@@ -173,8 +208,9 @@ class Tree:
                 self._end(tag)
                 continue
             rest = m[3]
+            empty = rest.endswith("/") and self.foreign()
             self._start(tag, _attributes(rest) if "=" in rest or rest.strip("/ \n") else {}, rest.endswith("/"))
-            if tag in RAW:
+            if tag in RAW and not empty:
                 end = re.compile(rf"</{tag}\s*>|\Z", re.I).search(page, at)
                 body, at = page[at : end.start()], end.end()
                 if tag == "style":
@@ -183,8 +219,12 @@ class Tree:
                 self._end(tag)
 
     def visible(self, node: Node) -> bool:
-        if node.tag in UNSEEN:
+        if node.tag in UNSEEN or node.tag == "dialog" and "open" not in node.attributes:
             return False
+        return self.styled(node)
+
+    def styled(self, node: Node) -> bool:
+        """Whether neither an attribute nor a style sheet hides the node."""
         own = node.attributes
         if own and ("hidden" in own or _HIDES.search(own.get("style", "")) or own.get("type", "").lower() == "hidden"):
             return False
@@ -220,6 +260,9 @@ class Renderer:
                     continue
                 elif child.tag == "br":
                     flow.append("\n")
+                elif child.tag in FOREIGN:
+                    apart = "\n" if child.attributes.get("display", "").lower() == "block" else ""
+                    flow.append(apart + self.foreign(child) + apart)
                 elif child.tag in BLOCK:
                     if any(not piece.isspace() for piece in flow):
                         flush()
@@ -235,6 +278,49 @@ class Renderer:
             flush()
         return out
 
+    def foreign(self, node: Node) -> str:
+        """The text of a drawing or formula, in one line but for HTML inside it."""
+        return self._drawing(node, False, False, 0, set()) if node.tag == "svg" else self._formula(node)
+
+    def _drawing(self, node: Node, inside: bool, used: bool, depth: int, drawn: set[str]) -> str:
+        """``inside`` a text element; ``drawn`` are the names of used elements, each drawn once."""
+        pieces = []
+        for child in node.children:
+            if isinstance(child, str):
+                pieces.append(child if inside else "")
+                continue
+            own = child.attributes
+            gone = own.get("display", "") == "none" or own.get("visibility", "") in ("hidden", "collapse")
+            if child.tag in FOREIGN_UNSEEN["svg"] or gone or not self.tree.styled(child):
+                continue
+            if child.tag == "foreignobject" and not used:
+                pieces.append("\n" + "\n".join(self.lines(child)) + "\n")
+            elif child.tag == "use":
+                name = (own.get("href") or own.get("xlink:href", "")).removeprefix("#")
+                if name in self.tree.by_id and name not in drawn and depth < 60:
+                    drawn.add(name)
+                    target, holder = self.tree.by_id[name], Node("g")
+                    holder.children = target.children if target.tag == "symbol" else [target]
+                    pieces.append(self._drawing(holder, False, True, depth + 1, drawn))
+            elif child.tag in ("text", "foreignobject"):
+                pieces.append(" " + self._drawing(child, True, used, depth + 1, drawn) + " ")
+            else:
+                pieces.append(self._drawing(child, inside, used, depth + 1, drawn))
+        return "".join(pieces)
+
+    def _formula(self, node: Node) -> str:
+        pieces = []
+        for child in node.children:
+            if isinstance(child, str):
+                # White space between elements is not drawn.
+                pieces.append("" if child.isspace() else _BLANKS.sub(" ", child))
+            elif child.tag == "svg":
+                pieces.append(self.foreign(child))
+            elif child.tag not in FOREIGN_UNSEEN["math"] and self.tree.styled(child):
+                text = self._formula(child)
+                pieces.append(f" {text} " if child.tag in APART or node.tag == "mfrac" else text)
+        return "".join(pieces)
+
     def inner(self, node: Node) -> list[str]:
         """The lines without the space above and below them."""
         lines = self.lines(node)
@@ -255,6 +341,8 @@ class Renderer:
             out.append("")
 
     def block(self, node: Node) -> list[str]:
+        if node.tag in FOREIGN:
+            return [text for line in self.foreign(node).split("\n") if (text := _BLANKS.sub(" ", line).strip())]
         if node.tag in ("ul", "ol", "menu"):
             return self.items(node)
         if node.tag == "table":
@@ -296,6 +384,8 @@ class Renderer:
             for child in parent.children:
                 if isinstance(child, str):
                     pieces.append(child)
+                elif child.tag in FOREIGN and self.tree.visible(child):
+                    pieces.append(self.foreign(child))
                 elif self.tree.visible(child):
                     pieces.append("\n" if child.tag == "br" else text(child))
             return "".join(pieces)

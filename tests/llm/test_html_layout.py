@@ -33,6 +33,35 @@ def test_hidden_things_stay_hidden():
     assert visible_text(page) == "6\ns"
 
 
+def test_drawings_formulas_and_dialogs():
+    svg = (
+        "<p>see <svg viewBox='0 0 9 9'><title>no</title><desc>no</desc><defs><text id=t>used</text></defs><style/>"
+        "<path d='M0'/><g>\n loose <text x=1>one <tspan>two</tspan></text></g><text display=none>no</text>"
+        "<text visibility='hidden'>no</text><use href='#t'/><foreignObject><div>html</div></foreignObject></svg> here"
+    )
+    assert visible_text(svg).split() == ["see", "one", "two", "used", "html", "here"]
+    math = (
+        "so <math><semantics><mrow><msup><mi>x</mi> <mn>2</mn></msup><mo>=</mo><mfrac><mn>1</mn><mn>2</mn></mfrac></mrow>"
+        "<annotation encoding='application/x-tex'>x^2</annotation></semantics></math> holds"
+    )
+    assert visible_text(math) == "so x2= 1 2 holds"
+    assert visible_text("<dialog>no</dialog>a<dialog open>b<p>c</dialog>d") == "a\nb\n\nc\n\nd"
+    assert visible_text("<pre>a <svg><text>b</text></svg></pre>").split() == ["a", "b"]
+    assert visible_text("<ul><svg><text>a</text>no</svg><li><math><mi>b</mi></math></ul>") == "  a\n- b"
+
+
+def test_broken_drawings():
+    assert visible_text("<svg><g><path d=x><p>after</p>") == "after"
+    assert visible_text("<svg><title/><text>a</svg>b").split() == ["a", "b"]
+    assert visible_text("<svg><use href=#u id=u /><g id=g><use href=#g /><text>a</text></g></svg>").split() == ["a", "a"]
+    nest = "<div>" * 180 + "<svg><use href=#k /></svg>" + "</div>" * 180 + "<svg><symbol id=k>" + "<g>" * 180 + "<foreignObject>deep"
+    assert "deep" in visible_text(nest)
+    laughs = "".join(f"<g id=u{k}>" + f"<use href=#u{k + 1} />" * 50 + "</g>" for k in range(40))
+    assert visible_text(f"<svg>{laughs}<text id=u40>a</text></svg>").split().count("a") >= 1
+    assert visible_text("<svg>" * 3000 + "<text>deep") in ("deep", "")
+    assert visible_text("<math><mi>x</math><svg hidden><text>no</svg><svg style='display:none'><text>no</svg>y") == "xy"
+
+
 def test_preformatted_and_entities():
     assert visible_text("<pre>\na  b\n  c</pre>") == "a  b\n  c"
     assert visible_text("a &lt;b&gt; &amp;amp; 1 < 2") == "a <b> &amp; 1 < 2"
