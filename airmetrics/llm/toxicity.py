@@ -5,7 +5,8 @@ ends included, within a span of six, each weighted by decay per letter of span.
 or left out, punctuation inside a word and letters spaced apart so change little. A sentence is
 judged by its worst words, a text by its worst sentence and by the sum and density of all of them.
 
-The machine is trained on sentences of labelled texts. Those of clean texts are clean. Of each
+The machine is trained on the words of labelled texts, not on their sentences, so that sentences that
+are toxic only as a whole are not told apart. Words of clean texts are clean. Of each
 toxic text the word that the present machine finds worst stands for its toxic sentences, and so
 do words that several toxic texts share and no clean one has; a few rounds of choosing and
 training settle which. A toxic text in which nothing is found, as happens to wrong labels, teaches
