@@ -1,13 +1,13 @@
-"""N-gram Jaccard join by a MinHash LSH forest with exact verification.
+"""N-gram Jaccard join by MinHash banding with exact verification.
 
 Texts are sets of word shingles. Texts with one and the same set are a class of copies; the join
-works on classes. Every class gets one MinHash signature per tree of the forest; a tree is the
-trie of the sorted signatures. Two classes meet when they share a prefix in some tree. Prefixes
-start at the full depth and are shortened until a pair at the threshold meets with the target
-probability; more similar pairs meet more surely.
+works on classes. Every class gets one key per tree, a hash of its first minima there. This is
+banding in place of an LSH forest: the depth is one number, shortened from the full one until a pair
+at the threshold meets with the target probability, and does not adapt to the data. Two classes meet
+when they share a key in some tree; more similar pairs meet more surely.
 
 Classes that meet are compared exactly. A pair is counted in the first tree where it meets, so it
-is verified once. Large trie nodes are cut into chunks, and tasks compare a chunk with a chunk:
+is verified once. Large nodes are cut into chunks, and tasks compare a chunk with a chunk:
 pairs are never emitted. What leaves a task is one row per class: how many links it has there,
 and one link that keeps its group connected.
 
