@@ -7,6 +7,9 @@ All hashes are 64 bits wide and depend on the text alone, so every executor gets
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import os
 import shutil
 import sys
@@ -16,6 +19,7 @@ from pathlib import Path
 from uuid import uuid4
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,6 +70,14 @@ def maybe_among(frame: DataFrame, ids: DataFrame, key: str, maybe: bool = True)
     return frame.join(F.broadcast(buckets), bucket(frame[key]) == buckets["_bucket"], how)
 
 
+def release_memory() -> None:
+    """Give memory that earlier tasks of this worker process have freed back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only the GNU C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def ship_package(spark: SparkSession) -> None:
     """Send this package to the executors, unless they find it by the path the driver was given."""
     root = Path(__file__).resolve().parents[2]

@@ -22,16 +22,18 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from airmetrics.llm.common import stored
-from airmetrics.llm.tokens import Encoder
+from airmetrics.llm.common import release_memory, stored
+from airmetrics.llm.tokens import encoder
 
 SEQUENCE_TOKENS = 4096
 OPEN_WINDOWS = 64
 END_ID = 2
 #: Leftover windows that one task merges.
 MERGE_WINDOWS = 4096
+#: A task hands pieces on when their ids reach so many bytes.
+OUT_BYTES = 8 << 20
 _MERGED = 1 << 62
 
 
@@ -69,7 +71,8 @@ def _first_pass(vocabulary: str, capacity: int, open_windows: int, end_id: int,
     schema = pa.schema(list(zip(names + ["origin", "closed"], types + [pa.int64(), pa.bool_()])))
 
     def pack(batches):
-        encode = Encoder(vocabulary)
+        release_memory()
+        encode = encoder(vocabulary)
         windows = OpenWindows(capacity, open_windows)
         origin = TaskContext.get().partitionId()
         waiting: dict[int, list[tuple]] = {}
@@ -79,11 +82,13 @@ def _first_pass(vocabulary: str, capacity: int, open_windows: int, end_id: int,
             columns += [pa.array([origin] * len(rows), pa.int64()), pa.array([closed] * len(rows), pa.bool_())]
             return pa.RecordBatch.from_arrays(columns, schema=schema)
 
+        done: list[tuple] = []
+        size = 0
         for batch in batches:
-            done: list[tuple] = []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                ids = encode(text) + end
-                total = len(ids) // 4
+            # One text at a time: a batch may hold very long ones.
+            for doc_id, text in zip(batch.column("doc_id"), batch.column("text")):
+                ids = encode(text.as_py()) + end
+                doc_id, total = doc_id.as_py(), len(ids) // 4
                 for start in range(0, total, capacity):
                     piece = ids[4 * start : 4 * (start + capacity)]
                     length = len(piece) // 4
@@ -91,13 +96,17 @@ def _first_pass(vocabulary: str, capacity: int, open_windows: int, end_id: int,
                     kept = (piece,) if with_ids else ()
                     if length == capacity:
                         done.append((*row, windows.new(), 0, *kept))
-                        continue
-                    window, offset, closed = windows.place(length)
-                    waiting.setdefault(window, []).append((*row, window, offset, *kept))
-                    if closed is not None:
-                        done += waiting.pop(closed)
-            if done:
-                yield table(done, True)
+                    else:
+                        window, offset, closed = windows.place(length)
+                        waiting.setdefault(window, []).append((*row, window, offset, *kept))
+                        if closed is not None:
+                            done += waiting.pop(closed)
+                    size += len(piece)
+                    if size >= OUT_BYTES and done:
+                        yield table(done, True)
+                        done, size = [], 0
+        if done:
+            yield table(done, True)
         if rest := [row for rows in waiting.values() for row in rows]:
             yield table(rest, False)
 
@@ -134,7 +143,7 @@ def pack(
     """One row per piece; ``with_ids`` adds its ids as little-endian unsigned 32-bit numbers."""
     kept = documents.select("doc_id", "text")
     id_type = kept.schema["doc_id"].dataType
-    arrow_id = {T.LongType(): pa.int64(), T.IntegerType(): pa.int32(), T.StringType(): pa.string()}[id_type]
+    arrow_id = to_arrow_type(id_type)
     run, _ = _first_pass(vocabulary, capacity, open_windows, end_id, arrow_id, with_ids)
     schema = (
         f"doc_id {id_type.simpleString()}, start long, length long, ids_crc32 long, doc_tokens long, window long, "

@@ -6,12 +6,15 @@ import json
 import os
 import re
 from array import array
+from functools import lru_cache
 
 import regex
 
 #: Texts of these characters keep their code points under NFC and lower-casing, and white space
 #: means the same to Python as to the tokenizer. Others go through the tokenizer itself.
 _PLAIN = re.compile("[\t\n\r\x20-\x7e\xa0-įı-ɏ]*")
+#: Memory for remembered words, per worker process.
+KEPT_BYTES = 48 << 20
 _NORMALIZERS = ["NFC", "Replace", "Lowercase"]
 _PRE_TOKENIZERS = ["Split", "ByteLevel"]
 
@@ -25,16 +28,22 @@ def vocabulary_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+#: Bytes that an entry of a dictionary takes besides its text and ids: slot, headers, rounding.
+_ENTRY = 200
+
+
 class _Kept(dict):
-    """Remembers what it has made, up to a number of entries; what is met first is met often."""
+    """Remembers what it has made, up to a number of bytes; what is met first is met often."""
 
     def __init__(self, make, limit: int):
         super().__init__()
-        self.make, self.limit = make, limit
+        self.make, self.left = make, limit
 
     def __missing__(self, key):
         value = self.make(key)
-        if len(self) < self.limit:
+        size = _ENTRY + 2 * len(key) + len(value)
+        if size <= self.left:
+            self.left -= size
             self[key] = value
         return value
 
@@ -43,10 +52,10 @@ class Encoder:
     """Ids as little-endian unsigned 32-bit bytes, equal to ``Tokenizer.encode``.
 
     A vocabulary whose words never cross white space is encoded word by word, each distinct word
-    once as long as ``kept`` entries last. Any other vocabulary or unusual text is encoded whole.
+    once as long as ``kept`` bytes last. Any other vocabulary or unusual text is encoded whole.
     """
 
-    def __init__(self, vocabulary: str, kept: int = 400_000):
+    def __init__(self, vocabulary: str, kept: int = KEPT_BYTES):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary_path(vocabulary))
@@ -60,8 +69,8 @@ class Encoder:
         if self.by_word:
             self.pattern = regex.compile(told["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
             self.bytes = self._byte_table()
-            self.words = _Kept(self._word, kept)
-            self.chunks = _Kept(self._chunk, kept)
+            self.words = _Kept(self._word, kept // 3)
+            self.chunks = _Kept(self._chunk, kept - kept // 3)
 
     @staticmethod
     def _byte_table() -> dict[int, str]:
@@ -85,3 +94,9 @@ class Encoder:
         if self.by_word and _PLAIN.fullmatch(text) and not any(token in text for token in self.special):
             return b"".join(map(self.chunks.__getitem__, text.lower().split()))
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+
+@lru_cache(maxsize=1)
+def encoder(vocabulary: str) -> Encoder:
+    """The encoder of this worker process; its tasks share what it remembers."""
+    return Encoder(vocabulary)

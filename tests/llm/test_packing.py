@@ -25,7 +25,7 @@ def _plain():
      "<|endoftext|> in <|startoftext|>text", "don't-stop...(ok)\x85next\xa0one\u2028z", "ǅ ŉ ſ ª ²³ x" * 50],
 )
 def test_ids_equal_the_tokenizer(text):
-    encode = Encoder(VOCABULARY, kept=3)
+    encode = Encoder(VOCABULARY, kept=2000)
     for _ in range(2):
         assert np.frombuffer(encode(text), dtype="<u4").tolist() == _plain().encode(text, add_special_tokens=False).ids
 
@@ -107,3 +107,18 @@ def test_query_round_trip(spark):
     digests = op7_bounded_packing(spark, SF)
     assert "ids" not in digests.columns
     assert {(r.doc_id, r.start, r.ids_crc32) for r in digests.collect()} == {(p.doc_id, p.start, p.ids_crc32) for p in pieces}
+
+
+@pytest.mark.parametrize("kind", ["smallint", "int", "string", "decimal(20,0)", "date"])
+def test_ids_of_any_type(spark, kind):
+    frame = documents(spark, [(1, "one two"), (None, "three")])
+    ids = "date_from_unix_date(cast(doc_id as int))" if kind == "date" else f"cast(doc_id as {kind})"
+    found = packing.pack(frame.selectExpr(f"{ids} AS doc_id", "text"))
+    assert dict(found.dtypes)["doc_id"] == kind and found.count() == 2
+
+
+def test_remembered_words_are_bounded_in_bytes():
+    encode = Encoder(VOCABULARY, kept=30_000)
+    for k in range(2000):
+        encode(f"word{k} " * 3)
+    assert len(encode.words) + len(encode.chunks) < 150
