@@ -92,3 +92,36 @@ select page_id, seg.host, path, {rule.replace('host', 'seg.host')} as rule,
        tree.template, purity
 from seg join tree on tree.host = seg.host and tree.shape = array_to_string(segs, '/')
 join rated on rated.host = tree.host and rated.template = tree.template"""
+
+
+COLLOCATIONS = r"""
+with lowered as (
+  select coalesce(lang, 'und') as lang,
+         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as text
+  from documents),
+pieces as (select lang, unnest(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]')) as piece from lowered),
+words as (select lang, regexp_extract_all(piece, '[^ \t]+') as w from pieces),
+orders as (select unnest([1, 2, 3]) as size),
+placed as (select lang, size, w, unnest(range(1, len(w) - size + 2)) as i from words, orders where len(w) >= size),
+counted as (
+  select lang, size, array_to_string(w[i : i + size - 1], ' ') as phrase, count(*)::hugeint as f
+  from placed group by all),
+totals as (select lang, sum(f)::bigint as n from counted where size = 1 group by lang),
+candidates as (select *, string_split(phrase, ' ') as w from counted where size > 1 and f >= 10),
+cuts as (
+  select c.lang, c.phrase, c.f as a, k, l.f as l, r.f as r, (1000000 * c.f * c.f) // (l.f * r.f) as score
+  from (select *, unnest(range(1, size)) as k from candidates) c
+  join counted l on l.lang = c.lang and l.size = k and l.phrase = array_to_string(c.w[1 : k], ' ')
+  join counted r on r.lang = c.lang and r.size = c.size - k and r.phrase = array_to_string(c.w[k + 1 : c.size], ' ')),
+weakest as (
+  select * from cuts qualify row_number() over (partition by lang, phrase order by score, k) = 1),
+covered as (
+  select distinct p.lang, p.phrase from candidates p join candidates t
+  on t.lang = p.lang and p.size = 2 and t.size = 3 and 100 * t.f >= 50 * p.f
+  and p.phrase in (array_to_string(t.w[1 : 2], ' '), array_to_string(t.w[2 : 3], ' ')))
+select lang, rank, phrase, a::bigint as a, l::bigint as l, r::bigint as r, n, score::bigint as score
+from (
+  select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank
+  from weakest anti join covered using (lang, phrase)) join totals using (lang)
+where rank <= 2000
+"""

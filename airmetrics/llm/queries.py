@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from airmetrics.llm import conversations, decontamination, html_layout, jaccard_join, language_id, licenses, nearest, oracle, toxicity, urls
+from airmetrics.llm import collocations, conversations, decontamination, html_layout, jaccard_join, language_id, licenses, nearest, oracle, toxicity, urls
 from airmetrics.llm.common import id_remainder, read_table
 from airmetrics.llm.packing import pack
 from airmetrics.llm.sharding import shard_documents
@@ -95,6 +95,11 @@ def op10_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", "rank", "vec_id", "score")
 
 
+def op11_count_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The strongest phrases of every language."""
+    return collocations.collocations(read_table(spark, sf_dir, "documents"))
+
+
 def op13_dijkstra_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation, damaged by a known rule, with its cheapest repair."""
     return conversations.repair(conversations.damaged(read_table(spark, sf_dir, "conversations")))
@@ -111,9 +116,11 @@ QUERIES = {
     "op8_minhash_forest": op8_minhash_forest,
     "op9_string_kernel": op9_string_kernel,
     "op10_multi_index": op10_multi_index,
+    "op11_count_streams": op11_count_streams,
     "op13_dijkstra_repair": op13_dijkstra_repair,
 }
 ORACLE = {
     "op5_license_rules": oracle.license_sql(),
     "op6_path_templates": oracle.url_sql(URL_RULES),
+    "op11_count_streams": oracle.COLLOCATIONS,
 }
