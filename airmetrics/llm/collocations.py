@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from airmetrics.llm.common import mix, release_memory, shared_folder, stored
+from airmetrics.llm.common import SLICE_BYTES, mix, release_memory, shared_folder, slices, stored
 
 AT_LEAST = 10
 TOP = 2000
@@ -42,8 +42,6 @@ COVERED = 50
 BITMAP_BITS = 1 << 26
 #: Words that a task counts at once; local word numbers have 21 bits.
 RUN_WORDS = 1 << 21
-#: Longer texts are cut between words.
-SLICE_BYTES = 8 << 20
 #: Hashes of pairs that one task adds up, and rows of a stream that one task walks.
 MERGE_HASHES = 1 << 22
 STREAM_ROWS = 1 << 20
@@ -56,19 +54,6 @@ _END = b"\xff"
 _LETTERS = bytes(c + 32 if 65 <= c <= 90 else 0xFF if c in b".,;:!?\n\x0b\x0c\r" else c for c in range(256))
 
 
-def _slices(text: bytes) -> Iterator[bytes]:
-    """A text in pieces of bounded size, cut at blanks."""
-    at = 0
-    while len(text) - at > SLICE_BYTES:
-        cut = max(text.rfind(b" ", at, at + SLICE_BYTES), text.rfind(b"\t", at, at + SLICE_BYTES))
-        if cut <= at:  # one word longer than a slice
-            found = [c for c in (text.find(b" ", at + 1), text.find(b"\t", at + 1)) if c > 0]
-            cut = min(found, default=len(text))
-        yield text[at:cut]
-        at = cut
-    yield text[at:]
-
-
 class Run:
     """Words of many texts as numbers, with the hash of every distinct word of a language."""
 
@@ -129,7 +114,7 @@ def _runs(batches) -> Iterator[Run]:
     for batch in batches:
         for text, lang in zip(batch.column("text"), batch.column("lang")):
             lang, text = lang.as_py(), (text.as_py() or b"").translate(_LETTERS)
-            for part in _slices(text + _END):
+            for part in slices(text + _END, SLICE_BYTES):
                 found = part.replace(_END, b" \xff ").split()
                 while found:
                     room = RUN_WORDS - 1 - len(words)

@@ -14,6 +14,7 @@ import os
 import shutil
 import sys
 import tempfile
+from collections.abc import Iterator
 from functools import lru_cache
 from pathlib import Path
 from uuid import uuid4
@@ -28,6 +29,9 @@ SIMILARITY = 0.8
 #: Longer texts are hashed in pieces of about so many characters, cut between words.
 PIECE_CHARS = 1 << 20
 
+#: Bytes of a text that are split into words at once.
+SLICE_BYTES = 8 << 20
+
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 
@@ -51,6 +55,12 @@ def stored(frame: DataFrame, purpose: str) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(folder)
 
 
+def discard(spark: SparkSession, folder: str) -> None:
+    """Delete a folder that :func:`shared_folder` named, once nothing reads it any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 #: Hash buckets of ids that a broadcast may hold, whatever the number of ids.
 ID_BUCKETS = 1 << 20
 
@@ -158,6 +168,19 @@ def _word_hashes(piece: str) -> np.ndarray:
     return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
+def slices(text: bytes, size: int = SLICE_BYTES) -> Iterator[bytes]:
+    """A text in pieces of bounded size, cut before blanks; only a longer word makes a longer piece."""
+    at = 0
+    while len(text) - at > size:
+        cut = max(text.rfind(b" ", at + 1, at + size), text.rfind(b"\t", at + 1, at + size))
+        if cut < 0:
+            ahead = (text.find(b" ", at + size), text.find(b"\t", at + size))
+            cut = min((c for c in ahead if c > 0), default=len(text))
+        yield text[at:cut]
+        at = cut
+    yield text[at:]
+
+
 def word_hashes(text: str | None) -> np.ndarray:
     """One hash per word, in order."""
     if not text:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from airmetrics.llm import collocations, conversations, decontamination, html_layout, jaccard_join, language_id, licenses, nearest, oracle, toxicity, urls
+from airmetrics.llm import collocations, conversations, decontamination, html_layout, jaccard_join, language_id, licenses, nearest, oracle, pitman_yor, toxicity, urls
 from airmetrics.llm.common import id_remainder, read_table
 from airmetrics.llm.packing import pack
 from airmetrics.llm.sharding import shard_documents
@@ -100,6 +100,14 @@ def op11_count_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(read_table(spark, sf_dir, "documents"))
 
 
+def op12_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log probability of every document; a seventh is held out of the learning."""
+    documents = read_table(spark, sf_dir, "documents")
+    model = pitman_yor.fit(documents.where(id_remainder(F.col("doc_id"), 7) != 2))
+    held_out = F.coalesce(id_remainder(F.col("doc_id"), 7) == 2, F.lit(False))
+    return pitman_yor.with_scores(documents, model, held_out)
+
+
 def op13_dijkstra_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation, damaged by a known rule, with its cheapest repair."""
     return conversations.repair(conversations.damaged(read_table(spark, sf_dir, "conversations")))
@@ -117,6 +125,7 @@ QUERIES = {
     "op9_string_kernel": op9_string_kernel,
     "op10_multi_index": op10_multi_index,
     "op11_count_streams": op11_count_streams,
+    "op12_pitman_yor": op12_pitman_yor,
     "op13_dijkstra_repair": op13_dijkstra_repair,
 }
 ORACLE = {
