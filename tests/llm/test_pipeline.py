@@ -52,7 +52,18 @@ def test_one_of_each_group_stays(spark):
     found = defaultdict(int)
     for r in kept.collect():
         found[r.doc_id] += 1
-    assert found == {1: 1, 3: 2, None: 2, 5: 1}
+    assert found == {1: 1, 3: 2, None: 1, 5: 1}
+
+
+def test_rows_decide_not_ids(spark):
+    """Copies without id, or under an id that other texts share, go like any others."""
+    one, two, three = (prose(k, 90) for k in (11, 12, 13))
+    rows = [(None, one)] * 3 + [(None, one + " end")] + [(7, two), (7, three), (8, three), (9, three + " more")]
+    frame = documents(spark, [(*r, "x", 1) for r in rows], "doc_id long, text string, class_id string, rows int")
+    kept = corpus_pipeline.without_near_duplicates(spark, frame, SF)
+    assert kept.columns == frame.columns
+    found = sorted((str(r.doc_id), r.text[:20]) for r in kept.collect())
+    assert found == sorted([("None", one[:20]), ("7", two[:20]), ("7", three[:20])])
 
 
 def test_empty_documents_pass_every_stage(spark):
