@@ -26,25 +26,25 @@ def in_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of copies and near copies, the one with the least id."""
-    found = jaccard_join.near_duplicates(docs).where("doc_id is not null")
-    by_id = stored(
-        found.groupBy("doc_id").agg(
-            F.max(F.col("class_id") == F.col("doc_id")).alias("stays"), F.count("*").alias("rows")
-        ),
-        "decisions",
-    )
-    gone = by_id.where("not stays").select("doc_id")
+    """One document of each group of copies and near copies, the one with the least id.
+
+    Rows are told apart by a number of their own, so null and repeated ids decide nothing; a null
+    id comes last, and of equal ids the first row stays. Null texts are in no group.
+    """
+    row, id_name = (f"_{name}_{len(docs.columns)}" for name in ("row", "id"))
+    # Stored, so that a row has the same number in every pass.
+    numbered = stored(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    found = jaccard_join.near_duplicates(numbered.select(F.col(row).alias("doc_id"), "text"))
+    shared = found.groupBy("class_id").agg(F.count("*").alias("rows")).where("rows > 1").select("class_id")
+    members = found.select(F.col("doc_id").alias(row), "class_id").join(shared, "class_id")
+    members = members.join(numbered.select(row, F.col("doc_id").alias(id_name)), row)
+    stays = F.min_by(row, F.struct(F.col(id_name).isNull(), id_name, row)).alias("stays")
+    best = members.groupBy("class_id").agg(stays)
+    gone = stored(members.join(best, "class_id").where(F.col(row) != F.col("stays")).select(row), "gone")
     # Most documents cannot be among those that go; only the others are shuffled to find out.
-    sure = maybe_among(docs, gone, "doc_id", maybe=False)
-    kept = sure.unionByName(maybe_among(docs, gone, "doc_id").join(gone, "doc_id", "left_anti").select(docs.columns))
-    again = by_id.where("stays and rows > 1").select("doc_id")
-    if again.isEmpty():
-        return kept.select(docs.columns)
-    # An id on several rows: of equal texts one stays.
-    once = kept.join(again, "doc_id", "left_anti")
-    more = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return once.unionByName(more).select(docs.columns)
+    sure = maybe_among(numbered, gone, row, maybe=False)
+    kept = maybe_among(numbered, gone, row).join(gone, row, "left_anti")
+    return sure.select(docs.columns).unionByName(kept.select(docs.columns))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
