@@ -16,12 +16,13 @@ from pyspark.sql import functions as F
 
 from airmetrics.config import MissingData, PipelineConfig
 from airmetrics.contract import Contract
-from airmetrics.functions.time import iso_text, parse_rule, time_bucket
+from airmetrics.functions.time import MINUTE, iso_text, parse_rule, time_bucket
 from airmetrics.operators.flatlines import flatline_counts, flatlines_ending_here
 from airmetrics.operators.impute import impute
 from airmetrics.operators.metrics import METRICS, metric_aggregates, previous_values
 from airmetrics.operators.quality import count_if, score
 from airmetrics.operators.resample import fill_grid
+from airmetrics.operators.segments import combine_all, metrics_of, segment_width, summaries
 from airmetrics.operators.series import TIE, Layout
 from airmetrics.sources.snapshots import DEVICE, QUALITY, RESULT, receipts, write_snapshots
 
@@ -56,6 +57,8 @@ class StationRun:
 
     @cached_property
     def _devices(self) -> DataFrame:
+        if self._run.by_segments:
+            return self._run.devices_by_segments(self._buckets)
         # In slices the buckets are not yet together by device; whole series already are.
         together = self._buckets.repartition(*self._run.series) if self.layout.sliced else self._buckets
         return self._run.devices(together)
@@ -263,6 +266,29 @@ class _Run:
             *[F.sum(n).alias(n) for n in self.count_names],
         )
 
+    @property
+    def by_segments(self) -> bool:
+        """Below a minute the calendar allows too many buckets for one window over a device."""
+        width = parse_rule(self.config.resample_rule).width_us
+        return bool(width) and width < MINUTE and not self.config.fill_grid
+
+    def devices_by_segments(self, buckets: DataFrame) -> DataFrame:
+        """The same as :meth:`devices`, from summaries of time segments."""
+        layout = Layout(self.series, segment_width(parse_rule(self.config.resample_rule)))
+        real = F.col("kept") > 0
+        after = {f"after_{s}": F.when(real & F.col(s).isNull(), 1).otherwise(0) for s in self.sensors}
+        flat_pre = F.col("flat_pre") if "flat_pre" in buckets.columns else F.lit(0).cast("long")
+        rows = layout.spread(buckets.withColumns({**after, "flat_pre": flat_pre}))
+        sums = (*after, "flat_pre", *self.count_names)
+        whole = combine_all(
+            summaries(rows, self.config, layout, "kept > 0", sums), self.series, self.config, layout.slice_us, sums
+        )
+        edges = [F.col(f"{end}.timestamp").alias(f"{end}_bucket") for end in ("first", "last")]
+        devices = metrics_of(whole, self.series, [*sums, *edges])
+        flats = flatline_counts(rows.filter(real), self.contract, layout, self.series)
+        devices = devices.join(flats.withColumnRenamed("flatline_periods", "flat_post"), list(self.series), "left")
+        return devices.withColumn("flat_post", F.coalesce("flat_post", F.lit(0).cast("long")))
+
     def _on_grid(self, rows: DataFrame) -> DataFrame:
         """Empty buckets become rows without values, for runs that want a uniform grid."""
         real = rows.filter("_real")

@@ -353,6 +353,13 @@ ORACLE: dict[str, str] = {
     ),
     "device_metrics": sql(METRICS, f"select {KEYS}, {METRICS_OUT} from m"),
     "device_metrics_sliced": sql(METRICS, f"select {KEYS}, {METRICS_OUT} from m"),
+    "device_metrics_1s": sql(
+        [VALID, INTERPOLATED, bucketed("h", "i", "1 second"), metrics("m", "h")], f"select {KEYS}, {METRICS_OUT} from m"
+    ),
+    "device_metrics_1s_max_gap": sql(
+        [VALID, FFILL, bucketed("h", "f", "1 second"), metrics("m", "h", max_gap=1800)],
+        f"select {KEYS}, {METRICS_OUT} from m",
+    ),
     "device_metrics_ffill": sql(
         [VALID, FFILL, bucketed("h", "f", "1 hour"), metrics("m", "h")], f"select {KEYS}, {METRICS_OUT} from m"
     ),

@@ -250,9 +250,9 @@ def _metrics(*names: str) -> Query:
     return query
 
 
-def _run_devices(strategy: str, chunk: str, **knobs: object) -> Query:
+def _run_devices(strategy: str, chunk: str, rule: str = "1h", **knobs: object) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        config = PipelineConfig(resample_rule="1h", missing_strategy=strategy, chunk=chunk, **knobs)
+        config = PipelineConfig(resample_rule=rule, missing_strategy=strategy, chunk=chunk, **knobs)
         run = run_pipeline(readings(spark, sf_dir), CONTRACT, config)
         return flat(run.devices, "station_id", "device_id", *METRICS)
 
@@ -618,6 +618,8 @@ QUERIES: dict[str, Query] = {
     "station_window": window_of_station,
     "device_metrics": _run_devices("interpolate", "auto"),
     "device_metrics_sliced": _run_devices("interpolate", "1d"),
+    "device_metrics_1s": _run_devices("interpolate", "1d", rule="1s"),
+    "device_metrics_1s_max_gap": _run_devices("ffill", "1d", rule="1s", max_gap_seconds=1800),
     "device_metrics_ffill": _run_devices("ffill", "1d"),
     "device_metrics_drop": _run_devices("drop", "auto"),
     "device_metrics_max_gap": _run_devices("interpolate", "auto", max_gap_seconds=3600),
