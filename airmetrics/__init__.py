@@ -2,6 +2,7 @@
 
 from airmetrics.config import MissingData, PipelineConfig
 from airmetrics.contract import Contract
+from airmetrics.plans.lookback import process_with_lookback, totals
 from airmetrics.plans.stations import StationRun, process, run_pipeline
 from airmetrics.sources.readings import ReadingSource, read_readings
 from airmetrics.sources.snapshots import read_snapshots, write_snapshots
@@ -14,9 +15,11 @@ __all__ = [
     "ReadingSource",
     "StationRun",
     "process",
+    "process_with_lookback",
     "read_readings",
     "read_snapshots",
     "run_pipeline",
     "start_stream",
+    "totals",
     "write_snapshots",
 ]

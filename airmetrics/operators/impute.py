@@ -19,16 +19,21 @@ def impute(
     layout: Layout = Layout(),
     fill_values: dict[str, float] | None = None,
     by: str = "row",
+    edges: DataFrame | None = None,
 ) -> DataFrame:
-    """Apply one strategy to the sensor columns."""
+    """Apply one strategy to the sensor columns.
+
+    ``edges`` holds what each slice gets from the slices around it, where that is known already
+    (see :mod:`airmetrics.plans.lookback`); otherwise it is derived from the rows.
+    """
     strategy = MissingData.parse(strategy)
     if strategy is MissingData.DROP:
         return drop_missing(df, sensors)
     if strategy is MissingData.FFILL:
-        return forward_fill(df, sensors, layout)
+        return forward_fill(df, sensors, layout, edges)
     if strategy is MissingData.FILL:
         return fill_constant(df, fill_values or {})
-    return interpolate(df, sensors, layout, by)
+    return interpolate(df, sensors, layout, by, edges)
 
 
 def drop_missing(df: DataFrame, sensors: Sequence[str]) -> DataFrame:
@@ -43,7 +48,9 @@ def fill_constant(df: DataFrame, values: dict[str, float]) -> DataFrame:
     return df.fillna(values)
 
 
-def forward_fill(df: DataFrame, sensors: Sequence[str], layout: Layout = Layout()) -> DataFrame:
+def forward_fill(
+    df: DataFrame, sensors: Sequence[str], layout: Layout = Layout(), edges: DataFrame | None = None
+) -> DataFrame:
     """Carry the last known value forward; gaps at the start of a series stay."""
     wanted = df.columns
     df, rest = layout.split(df)
@@ -51,16 +58,22 @@ def forward_fill(df: DataFrame, sensors: Sequence[str], layout: Layout = Layout(
     so_far = layout.forward().rowsBetween(Window.unboundedPreceding, Window.currentRow)
     filled = rows.withColumns({s: F.last(s, ignorenulls=True).over(so_far) for s in sensors})
     if layout.sliced:
-        carried = [
-            F.last(s, ignorenulls=True).over(layout.across()).alias(f"_carried_{s}") for s in sensors
-        ]
-        filled = layout.carry(filled, layout.last_rows(filled).select(*layout.partition, *carried))
+        if edges is None:
+            carried = [
+                F.last(s, ignorenulls=True).over(layout.across()).alias(f"_carried_{s}") for s in sensors
+            ]
+            edges = layout.last_rows(filled).select(*layout.partition, *carried)
+        filled = layout.carry(filled, edges)
         filled = filled.withColumns({s: F.coalesce(s, f"_carried_{s}") for s in sensors})
     return _whole(filled.select(*wanted), rest)
 
 
 def interpolate(
-    df: DataFrame, sensors: Sequence[str], layout: Layout = Layout(), by: str = "row"
+    df: DataFrame,
+    sensors: Sequence[str],
+    layout: Layout = Layout(),
+    by: str = "row",
+    edges: DataFrame | None = None,
 ) -> DataFrame:
     """Linear interpolation between the known values around a gap.
 
@@ -86,7 +99,7 @@ def interpolate(
 
     rows = df.withColumns(nearest(forward, "prev")).withColumns(nearest(backward, "next"))
     if layout.sliced:
-        rows = layout.carry(rows, _interpolation_edges(df, sensors, layout, by))
+        rows = layout.carry(rows, _interpolation_edges(df, sensors, layout, by) if edges is None else edges)
     return _whole(rows.withColumns({s: _line(s, layout.sliced) for s in sensors}).select(*wanted), rest)
 
 

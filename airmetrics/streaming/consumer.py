@@ -20,7 +20,8 @@ from airmetrics.contract import Contract
 from airmetrics.functions.time import bound_literal
 from airmetrics.operators.quality import count_if
 from airmetrics.operators.series import Layout
-from airmetrics.plans.incremental import PERIODS
+from airmetrics.plans.incremental import PERIODS, STATE
+from airmetrics.plans.lookback import totals, update
 from airmetrics.plans.stations import run_pipeline
 from airmetrics.sources.events import (
     BAD_TYPE,
@@ -67,6 +68,10 @@ class StreamTables:
     def snapshots(self) -> str:
         return f"{self.base}/snapshots"
 
+    @property
+    def days(self) -> str:
+        return f"{self.base}/days"
+
     @property
     def checkpoint(self) -> str:
         return f"{self.base}/checkpoint"
@@ -98,16 +103,18 @@ def start_stream(
     config: PipelineConfig = PipelineConfig(),
     trigger: dict | None = None,
     query_name: str | None = None,
+    lookback: bool = False,
 ) -> StreamingQuery:
     """Start the consumer on a stream with a ``raw`` string column.
 
-    The default trigger works off what is there and stops. Bound the size of a micro-batch at
+    The default trigger works off what is there and stops. With ``lookback`` the days are also kept
+    as summaries that add up across midnight (see :func:`day_totals`). Bound the size of a micro-batch at
     the source (``maxFilesPerTrigger``, ``maxOffsetsPerTrigger``).
     """
     tables = StreamTables(base, contract)
     # The batch time is part of Spark's offset log: a repeated batch gets the same value.
     stamped = raw.select("raw", F.current_timestamp().alias("ingested_at"))
-    writer = stamped.writeStream.foreachBatch(batch_handler(tables, config))
+    writer = stamped.writeStream.foreachBatch(batch_handler(tables, config, lookback))
     writer = writer.option("checkpointLocation", tables.checkpoint)
     if query_name is not None:
         writer = writer.queryName(query_name)
@@ -115,7 +122,7 @@ def start_stream(
 
 
 def batch_handler(
-    tables: StreamTables, config: PipelineConfig = PipelineConfig()
+    tables: StreamTables, config: PipelineConfig = PipelineConfig(), lookback: bool = False
 ) -> Callable[[DataFrame, int], None]:
     """What happens to one micro-batch; any transport may call it."""
 
@@ -134,6 +141,8 @@ def batch_handler(
             days = [r.period for r in touched.select("period").distinct().collect()]
             if days:
                 recompute(spark, tables, days, touched, config, f"stream-{batch_id}")
+                if lookback:
+                    add_days(spark, tables, touched, config, f"stream-{batch_id}")
             _write_batch(batch_status(parsed), tables.status, batch_id)
         finally:
             parsed.unpersist()
@@ -154,6 +163,29 @@ def recompute(
     _store(readings, tables.read_bronze(spark).filter(F.col("day").isin(days)), tables, config, batch_id)
 
 
+def add_days(
+    spark: SparkSession, tables: StreamTables, touched: DataFrame, config: PipelineConfig, batch_id: str
+) -> None:
+    """Bring the day summaries up to date with the touched days, and with days that look at them."""
+    pending = touched.withColumns({c: F.lit(0).cast("bigint") for c in STATE})
+
+    def readings(days: list) -> DataFrame:
+        return tables.readings(spark, days).drop("period")
+
+    update(spark, readings, tables.days, tables.contract, config, pending, batch_id)
+
+
+def day_totals(
+    spark: SparkSession,
+    tables: StreamTables,
+    config: PipelineConfig = PipelineConfig(),
+    start: str | None = None,
+    end: str | None = None,
+) -> DataFrame:
+    """Metrics per device over the streamed days; over all of them, those of one run over bronze."""
+    return totals(spark, tables.days, tables.contract, config, start, end)
+
+
 def _store(
     readings: DataFrame, bronze: DataFrame, tables: StreamTables, config: PipelineConfig, batch_id: str | None
 ) -> None:

@@ -444,6 +444,10 @@ ORACLE: dict[str, str] = {
             )
         ),
     ),
+    "incremental_lookback": sql(METRICS, f"select {KEYS}, {METRICS_OUT} from m"),
+    "incremental_lookback_ffill": sql(
+        [VALID, FFILL, bucketed("h", "f", "1 hour"), metrics("m", "h")], f"select {KEYS}, {METRICS_OUT} from m"
+    ),
     "incremental_pending": sql(
         [
             f"""c as (select station_id, {DAY} as period, count(*) as rows,
@@ -529,6 +533,9 @@ ORACLE: dict[str, str] = {
   max(case when {GOOD} then timestamp end) as last_event_at from r""",
     ),
     "stream_snapshots": sql(SPLIT_DAYS, DAY_METRICS_OUT),
+    "stream_lookback": sql(
+        [*GOOD_DAYS, INTERPOLATED, HOURLY, metrics("m", "h")], f"select {KEYS}, {METRICS_OUT} from m"
+    ),
     "stream_replay": sql(
         SPLIT_DAYS, DAY_METRICS_OUT + " where day between date '2024-01-08' and date '2024-01-09'"
     ),

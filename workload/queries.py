@@ -36,6 +36,7 @@ from airmetrics.operators.series import Layout
 from airmetrics.operators.stations import busiest_readings, busiest_slice, check_device_counts
 from airmetrics.operators.trends import daily_health, pressure_trend
 from airmetrics.plans.incremental import pending_days, process_pending, read_ledger
+from airmetrics.plans.lookback import process_with_lookback, totals
 from airmetrics.plans.stations import process, run_pipeline
 from airmetrics.sources.events import dead_letters, good_events, long_readings, parse_events
 from airmetrics.sources.folders import shared_folder
@@ -48,12 +49,14 @@ from airmetrics.sources.snapshots import (
 )
 from airmetrics.streaming.consumer import (
     StreamTables,
+    batch_handler,
+    day_totals,
     processing_status,
     replay,
     start_stream,
 )
 from airmetrics.streaming.windows import dedupe_stream, window_aggregates
-from workload.tables import CONTRACT, SENSORS, raw_event_stream, readings, stations
+from workload.tables import CONTRACT, SENSORS, as_raw, raw_event_stream, readings, stations
 
 Query = Callable[[SparkSession, str], DataFrame]
 HOURLY = PipelineConfig(resample_rule="1h")
@@ -421,6 +424,20 @@ def incremental_reverted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pending_days(now, read_ledger(spark, ledger)).select("station_id", "period", "rows")
 
 
+def _lookback(strategy: str) -> Query:
+    """Metrics of all history out of stored days; the later days came first, one of them in parts."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows, path = readings(spark, sf_dir), shared_folder(spark, "days")
+        config = PipelineConfig(resample_rule="1h", missing_strategy=strategy)
+        late = rows.filter(F.col("timestamp") >= F.lit(datetime(2024, 1, 20, 6, tzinfo=timezone.utc)))
+        process_with_lookback(spark, late, path, CONTRACT, config)
+        process_with_lookback(spark, rows, path, CONTRACT, config)
+        return flat(totals(spark, path, CONTRACT, config), "station_id", "device_id", *METRICS)
+
+    return query
+
+
 def _with_nulls(rows: DataFrame) -> DataFrame:
     """Some rows lose their station, device or time; some of the others lie next to them."""
     n = F.col("event_id")
@@ -577,6 +594,17 @@ def stream_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _stream_day_metrics(replay(spark, tables, "2024-01-08T00:00:00Z", "2024-01-09T23:59:59Z", HOURLY))
 
 
+def stream_lookback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metrics of all streamed history; the second micro-batch brings the earlier events."""
+    tables = StreamTables(shared_folder(spark, "consumer"), CONTRACT)
+    handle = batch_handler(tables, HOURLY, lookback=True)
+    early = F.col("timestamp") < F.lit(datetime(2024, 1, 20, 6, tzinfo=timezone.utc))
+    for batch_id, part in enumerate((~early, early)):
+        raw = as_raw(readings(spark, sf_dir).filter(part))
+        handle(raw.withColumn("ingested_at", F.current_timestamp()), batch_id)
+    return flat(day_totals(spark, tables, HOURLY), "station_id", "device_id", *METRICS)
+
+
 QUERIES: dict[str, Query] = {
     "read_window": read_window,
     "contract_check": contract_check,
@@ -637,6 +665,8 @@ QUERIES: dict[str, Query] = {
     "snapshot_upsert": snapshot_upsert,
     "snapshot_overlap": snapshot_overlap,
     "snapshot_device": snapshot_device,
+    "incremental_lookback": _lookback("interpolate"),
+    "incremental_lookback_ffill": _lookback("ffill"),
     "incremental_pending": incremental_pending,
     "incremental_corrected": incremental_corrected,
     "incremental_reverted": incremental_reverted,
@@ -654,4 +684,5 @@ QUERIES: dict[str, Query] = {
     "stream_status": stream_status,
     "stream_snapshots": stream_snapshots,
     "stream_replay": stream_replay,
+    "stream_lookback": stream_lookback,
 }
