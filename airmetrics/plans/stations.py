@@ -409,7 +409,7 @@ class _Run:
         quality = F.struct(
             no_map, F.create_map().cast("map<string,bigint>"), zero, zero, zero, zero,
             F.struct(
-                F.lit(None), F.lit(None), F.lit(None), F.lit(None), F.lit("no rows for station/window")
+                F.lit(None), F.lit(None), F.lit(None), F.lit(None), F.lit("nothing was read for this station and window")
             ),
         ).cast(QUALITY)
         metrics = F.struct(

@@ -22,18 +22,19 @@ PRESSURE = "discharge_pressure"
 
 @pytest.mark.parametrize("layout", [Layout(), Layout(slice_us=HOUR), Layout(slice_us=DAY)])
 def test_unit_metrics(unit_frame, layout):
-    m = device_metrics(unit_frame, layout=layout).first()
-    assert (m.uptime_seconds, m.cycle_count, m.reading_count) == (7200, 2, 5)
-    assert m.total_flow_volume_m3 == pytest.approx(300)
-    assert m.average_pressure_bar == pytest.approx(7.06) and m.peak_pressure_bar == 7.2
-    assert m.specific_power_kw_per_m3h == pytest.approx(0.5)
-    assert m.thermal_efficiency_temp_per_kw == pytest.approx(0.805)
-    assert m.pressure_std_bar == pytest.approx(0.0894427, abs=1e-7)
+    m, quiet = device_metrics(unit_frame, layout=layout).orderBy("device_id").collect()
+    assert (m.uptime_seconds, m.cycle_count, m.reading_count) == (4800, 2, 6)
+    assert m.total_flow_volume_m3 == pytest.approx(60)
+    assert m.average_pressure_bar == pytest.approx(8) and m.peak_pressure_bar == 10
+    assert m.specific_power_kw_per_m3h == pytest.approx(5 / 12)
+    assert m.thermal_efficiency_temp_per_kw == pytest.approx(58 / 26)
+    assert m.pressure_std_bar == pytest.approx(2.5**0.5)
+    assert (quiet.uptime_seconds, quiet.cycle_count, quiet.reading_count, quiet.peak_pressure_bar) == (0, 0, 1, 5)
 
 
 def test_max_gap_stops_integration(unit_frame):
-    m = device_metrics(unit_frame, PipelineConfig(max_gap_seconds=1800)).first()
-    assert (m.uptime_seconds, m.total_flow_volume_m3, m.cycle_count) == (0, 0.0, 2)
+    m = device_metrics(unit_frame, PipelineConfig(max_gap_seconds=1200)).filter("device_id = 'd1'").first()
+    assert (m.uptime_seconds, m.total_flow_volume_m3, m.cycle_count) == (1200, 22.5, 2)
 
 
 def test_metrics_without_values(frame):
@@ -83,16 +84,16 @@ def test_faults(frame):
 
 
 def test_trend(unit_frame, contract):
-    daily = daily_health(unit_frame, contract).first()
-    assert (daily.uptime_seconds, daily.observed_seconds) == (7200, 14400)
-    assert daily.uptime_share == 0.5 and daily.pressure_vs_target == pytest.approx(7.06 / 9.5 - 1)
+    daily = daily_health(unit_frame, contract).filter("device_id = 'd1'").first()
+    assert (daily.uptime_seconds, daily.observed_seconds) == (4800, 10800)
+    assert daily.uptime_share == pytest.approx(4 / 9) and daily.pressure_vs_target == pytest.approx(8 / 9.5 - 1)
     assert pressure_trend(daily_health(unit_frame, contract)).first().days == 1
 
 
 def test_long_metrics(unit_frame):
     rows = metrics_long(device_metrics(unit_frame), names=["cycle_count"], devices=["d1"]).collect()
     assert [(r.metric, r.value) for r in rows] == [("cycle_count", 2.0)]
-    assert metrics_long(device_metrics(unit_frame)).count() == len(METRICS)
+    assert metrics_long(device_metrics(unit_frame)).count() == 2 * len(METRICS)
     with pytest.raises(ValueError):
         metrics_long(device_metrics(unit_frame), names=["nope"])
 
