@@ -174,7 +174,7 @@ def test_empty_station_and_emptied_station(frame, contract, chunk):
     none = rows["none"]
     assert none.data_quality_score == 0.0 and none.metrics.devices == []
     assert (none.window_start, none.window_end, none.metrics.window_start) == ("", "", "")
-    assert none.data_quality.extra.note == "no rows for station/window"
+    assert none.data_quality.extra.note == "nothing was read for this station and window"
     assert none.data_quality.missing_fraction_by_column == {} and none.data_quality.rows_before_clean == 0
     emptied = rows["s1"]
     # One bad cell in one row: half of the score is gone, nothing is missing any more.
