@@ -192,9 +192,9 @@ def test_no_rows_at_all(frame, contract):
 
 def test_result_document(unit_frame, contract):
     r = run_pipeline(unit_frame, contract, PipelineConfig("1h")).results.first()
-    assert r.window_start == "2024-01-01T00:00:00+00:00" and r.window_end == "2024-01-01T04:00:00+00:00"
-    assert [d.device_id for d in r.metrics.devices] == ["d1"]
-    assert r.metrics.devices[0].metrics.uptime_seconds == 7200
+    assert r.window_start == "2024-01-01T00:00:00+00:00" and r.window_end == "2024-01-01T03:00:00+00:00"
+    assert [d.device_id for d in r.metrics.devices] == ["d1", "d2"]
+    assert [d.metrics.uptime_seconds for d in r.metrics.devices] == [3600, 0]
     assert r.metrics.extras.rows_processed == 5 and r.metrics.extras.data_quality_score == r.data_quality_score
     assert r.data_quality.extra.resample_rule == "1h" and r.data_quality.extra.missing_strategy == "interpolate"
 
