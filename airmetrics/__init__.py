@@ -2,6 +2,7 @@
 
 from airmetrics.config import MissingData, PipelineConfig
 from airmetrics.contract import Contract
+from airmetrics.plans.files import process_files, process_files_with_lookback
 from airmetrics.plans.lookback import process_with_lookback, totals
 from airmetrics.plans.stations import StationRun, process, run_pipeline
 from airmetrics.sources.readings import ReadingSource, read_readings
@@ -15,6 +16,8 @@ __all__ = [
     "ReadingSource",
     "StationRun",
     "process",
+    "process_files",
+    "process_files_with_lookback",
     "process_with_lookback",
     "read_readings",
     "read_snapshots",

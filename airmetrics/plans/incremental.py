@@ -7,7 +7,8 @@ request for that window: rows outside it do not take part.
 
 from __future__ import annotations
 
-from datetime import datetime, timedelta, timezone
+from collections.abc import Callable, Sequence
+from datetime import date, datetime, timedelta, timezone
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,13 +31,16 @@ def with_period(readings: DataFrame) -> DataFrame:
     return readings.withColumn("period", F.to_date("timestamp"))
 
 
-def day_states(readings: DataFrame) -> DataFrame:
-    """Rows per station and day, and a sum over their hashes that does not depend on order."""
-    digest = F.xxhash64(*sorted(readings.columns))
+def day_states(readings: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Rows per station and day, and a sum over their hashes that does not depend on order.
+
+    ``by`` names further keys, which are not hashed; the states add up over them.
+    """
+    digest = F.xxhash64(*sorted(c for c in readings.columns if c not in by))
     return (
         with_period(readings)
         .withColumn("_digest", digest)
-        .groupBy(*PERIODS)
+        .groupBy(*by, *PERIODS)
         .agg(
             F.count(F.lit(1)).alias("rows"),
             # Halves of the hash: their sums cannot overflow.
@@ -60,6 +64,11 @@ def read_ledger(spark: SparkSession, path: str) -> DataFrame:
 def pending_days(readings: DataFrame, ledger: DataFrame) -> DataFrame:
     """Days that are new or differ from what was last run; days without rows by now have 0."""
     now = day_states(readings).filter(F.col("station_id").isNotNull() & F.col("period").isNotNull())
+    return changed_days(now, ledger)
+
+
+def changed_days(now: DataFrame, ledger: DataFrame) -> DataFrame:
+    """Days whose state is not what the ledger says."""
     then = ledger.select(*PERIODS, *[F.col(c).alias(f"_{c}") for c in STATE])
     both = now.join(then, on=list(PERIODS), how="full")
     current = [F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in STATE]
@@ -83,11 +92,28 @@ def process_pending(
     half-way is simply repeated. The scan is cut to the range of the pending days; a day whose
     rows are all gone is stored as an empty result.
     """
+    pending = pending_days(readings, read_ledger(spark, ledger))
+    return run_days(spark, readings, pending, path, ledger, contract, config)
+
+
+def run_days(
+    spark: SparkSession,
+    readings: DataFrame | Callable[[Sequence[date]], DataFrame],
+    pending: DataFrame,
+    path: str,
+    ledger: str,
+    contract: Contract,
+    config: PipelineConfig,
+) -> DataFrame:
+    """Run the days of ``pending``; ``readings`` may be a function that reads the days it is given."""
     run_id = uuid4().hex
-    pending = pending_days(readings, read_ledger(spark, ledger)).withColumn("run_id", F.lit(run_id))
+    pending = pending.withColumn("run_id", F.lit(run_id))
     pending.write.mode("append").parquet(f"{ledger}/planned")
     planned = spark.read.schema(LEDGER).parquet(f"{ledger}/planned").filter(F.col("run_id") == run_id)
     days = planned.select(*PERIODS)
+    if callable(readings):
+        # Calendar days, not rows.
+        readings = readings([r.period for r in days.select("period").distinct().collect()])
     touched = with_period(pending_range(readings, planned)).join(days, on=list(PERIODS), how="left_semi")
     results = run_pipeline(touched, contract, config, by=PERIODS).results_for(days)
     write_snapshots(results, path, batch_id=run_id)

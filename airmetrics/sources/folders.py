@@ -34,6 +34,12 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(hadoop)
 
 
+def is_folder(spark: SparkSession, path: str) -> bool:
+    """True when the path, taken literally, is a folder."""
+    fs, hadoop = _file_system(spark, path)
+    return fs.exists(hadoop) and fs.getFileStatus(hadoop).isDirectory()
+
+
 def delete_files(spark: SparkSession, files: list[str]) -> None:
     """Delete files by name, on whatever file system they are."""
     for name in files:

@@ -24,7 +24,7 @@ class ReadingSource:
     ``units`` names columns delivered in another unit than the contract's.
     """
 
-    path: str | None = None
+    path: str | list[str] | None = None
     format: str = "parquet"
     table: str | None = None
     options: dict[str, str] = field(default_factory=dict)

@@ -1,12 +1,19 @@
 """Readings source, snapshot table and incremental runs."""
 
+import os
+import re
+import shutil
+from dataclasses import replace
 from datetime import datetime, timezone
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from airmetrics.config import PipelineConfig
+from airmetrics.plans.files import pending_files, process_files, process_files_with_lookback
 from airmetrics.plans.incremental import pending_days, pending_range, process_pending, read_ledger
+from airmetrics.plans.lookback import totals
 from airmetrics.plans.stations import process, run_pipeline
 from airmetrics.sources.folders import delete_files, drop_partitions_before, shared_folder
 from airmetrics.sources.readings import ReadingSource, empty_readings, read_readings
@@ -212,3 +219,79 @@ def test_retention(spark, folder):
     assert spark.read.parquet(path).count() == 1
     assert drop_partitions_before(spark, folder("nothing"), "d", "2024-01-03") == []
     assert SENSORS
+
+
+def _store(frame, folder, name, rows):
+    frame(rows).coalesce(1).write.mode("overwrite").parquet(f"{folder}/{name}")
+
+
+def _data_files(folder):
+    return sorted(Path(folder).rglob("part-*.parquet"))
+
+
+def test_files_are_read_once(spark, contract, frame, folder):
+    at_ = [(m, "d", {PRESSURE: 7, "motor_speed": 900}) for m in (0, 60, 1440, 1500)]
+    base, path, ledger = f"{folder('odd')} a%20[b]+c", folder("snap"), folder("ledger")
+    source = ReadingSource(f"{re.sub(r'([][])', r'\\\1', base)}/*")
+    _store(frame, base, "one", at_[:2])
+    _store(frame, base, "two", at_[2:])
+    assert process_files(spark, source, path, ledger, contract, HOURLY).count() == 2
+    # Unchanged files are not opened again: their content may as well be gone.
+    for file in _data_files(base):
+        stat = file.stat()
+        file.write_bytes(bytes(stat.st_size))
+        os.utime(file, ns=(stat.st_atime_ns, stat.st_mtime_ns))
+    assert process_files(spark, source, path, ledger, contract, HOURLY).count() == 0
+    # A third file with a day of its own: only that file is read.
+    _store(frame, base, "three", [(3000, "d", {PRESSURE: 7})])
+    again = process_files(spark, source, path, ledger, contract, HOURLY).collect()
+    assert [r.window_start[:10] for r in again] == ["2024-01-03"]
+
+
+def test_replaced_and_deleted_files_are_found(spark, contract, frame, folder):
+    rows = [(m, "d", {PRESSURE: 7, "motor_speed": 900}) for m in (0, 60, 1440, 1500)]
+    base, path, ledger = folder("rows"), folder("snap"), folder("ledger")
+    source = ReadingSource(f"{base}/*")
+    _store(frame, base, "one", rows[:3])
+    _store(frame, base, "two", rows[3:])
+    process_files(spark, source, path, ledger, contract, HOURLY)
+
+    def days(source=source, contract=contract):
+        return sorted((str(r.period), r.rows) for r in pending_files(spark, source, ledger, contract)[0].collect())
+
+    assert days() == []
+    # Both files replaced; the first day holds what it held.
+    _store(frame, base, "one", rows[:2])
+    _store(frame, base, "two", rows[2:])
+    assert days() == [("2024-01-02", 2)]  # the builder deals event ids anew, so these rows differ
+    process_files(spark, source, path, ledger, contract, HOURLY)
+    shutil.rmtree(f"{base}/two")
+    assert days() == [("2024-01-02", 0)]
+    process_files(spark, source, path, ledger, contract, HOURLY)
+    gone = read_snapshots(spark, path).filter("slot = 'period 2024-01-02'").first()
+    assert (gone.window_start, gone.metrics.devices) == ("", [])
+    # Another unit makes other readings of the same bytes.
+    assert days(replace(source, units={PRESSURE: "MPa"})) == [("2024-01-01", 2)]
+
+
+def test_files_with_folder_columns_and_days_that_add_up(spark, contract, frame, folder):
+    rows = [(m, "d", {PRESSURE: 7, "motor_speed": 900, "air_flow_rate": 60}) for m in range(0, 4000, 50)]
+    base, path = folder("days"), folder("lookback")
+    source = ReadingSource(base, day_column="day")
+    stored = frame(rows).withColumn("day", F.to_date("timestamp"))
+    early, late = stored.filter("day < '2024-01-03'"), stored.filter("day >= '2024-01-03'")
+    late.write.partitionBy("day").parquet(base)
+    assert process_files_with_lookback(spark, source, path, contract, HOURLY).count() == 1
+    early.write.mode("append").partitionBy("day").parquet(base)
+    ran = process_files_with_lookback(spark, source, path, contract, HOURLY).collect()
+    assert {str(r.period) for r in ran} >= {"2024-01-01", "2024-01-02"}
+    assert process_files_with_lookback(spark, source, path, contract, HOURLY).count() == 0
+    (got,) = totals(spark, path, contract, HOURLY).collect()
+    (whole,) = run_pipeline(frame(rows), contract, HOURLY).devices.collect()
+    for name in ("uptime_seconds", "cycle_count", "total_flow_volume_m3", "reading_count"):
+        assert got[name] == whole[name]
+
+
+def test_only_folders_have_files(spark, contract, folder):
+    with pytest.raises(ValueError, match="path"):
+        pending_files(spark, ReadingSource(table="readings"), folder("ledger"), contract)

@@ -463,6 +463,13 @@ ORACLE: dict[str, str] = {
         f"""select station_id, {DAY} as period, count(case when {DAY} <> date '2024-01-12' then 1 end) as rows
   from r where {DAY} in (date '2024-01-10', date '2024-01-12') group by all""",
     ),
+    "incremental_files": sql(
+        [
+            f"""c as (select station_id, {DAY} as period, count(*) as rows,
+  count(case when timestamp < timestamp '2024-01-20 06:00:00' then 1 end) as seen from r group by all)"""
+        ],
+        "select station_id, period, rows from c where rows <> seen or period = date '2024-01-10'",
+    ),
     "null_rows_whole": NULL_ROWS,
     "null_rows_sliced": NULL_ROWS,
     "dq_report_nulls": sql(

@@ -35,6 +35,7 @@ from airmetrics.operators.resample import fill_grid, resample
 from airmetrics.operators.series import Layout
 from airmetrics.operators.stations import busiest_readings, busiest_slice, check_device_counts
 from airmetrics.operators.trends import daily_health, pressure_trend
+from airmetrics.plans.files import pending_files, process_files
 from airmetrics.plans.incremental import pending_days, process_pending, read_ledger
 from airmetrics.plans.lookback import process_with_lookback, totals
 from airmetrics.plans.stations import process, run_pipeline
@@ -424,6 +425,21 @@ def incremental_reverted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pending_days(now, read_ledger(spark, ledger)).select("station_id", "period", "rows")
 
 
+def incremental_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days left to do after a run, when a file came to the source and another was replaced."""
+    rows = readings(spark, sf_dir)
+    source, path, ledger = (shared_folder(spark, n) for n in ("source", "snapshots", "ledger"))
+    day, late = F.to_date("timestamp"), F.col("timestamp") >= F.lit(datetime(2024, 1, 20, 6, tzinfo=timezone.utc))
+    tenth = day == F.lit("2024-01-10").cast("date")
+    rows.filter(~late & ~tenth).write.parquet(f"{source}/part=early")
+    rows.filter(tenth).write.parquet(f"{source}/part=tenth")
+    files = ReadingSource(source)
+    process_files(spark, files, path, ledger, CONTRACT, HOURLY)
+    rows.filter(late).write.parquet(f"{source}/part=late")
+    _corrected(rows.filter(tenth)).write.mode("overwrite").parquet(f"{source}/part=tenth")
+    return pending_files(spark, files, ledger, CONTRACT)[0].select("station_id", "period", "rows")
+
+
 def _lookback(strategy: str) -> Query:
     """Metrics of all history out of stored days; the later days came first, one of them in parts."""
 
@@ -670,6 +686,7 @@ QUERIES: dict[str, Query] = {
     "incremental_pending": incremental_pending,
     "incremental_corrected": incremental_corrected,
     "incremental_reverted": incremental_reverted,
+    "incremental_files": incremental_files,
     "null_rows_whole": null_rows_whole,
     "null_rows_sliced": null_rows_sliced,
     "dq_report_nulls": dq_report_nulls,
