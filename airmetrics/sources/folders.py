@@ -47,6 +47,23 @@ def delete_files(spark: SparkSession, files: list[str]) -> None:
         fs.delete(hadoop, False)
 
 
+def child_folders(spark: SparkSession, path: str, column: str) -> list[tuple[str, str]]:
+    """Value and path of the partitions of a folder by ``column``; none if there is no folder."""
+    fs, hadoop = _file_system(spark, path)
+    if not fs.exists(hadoop):
+        return []
+    prefix = f"{column}="
+    found = [status.getPath() for status in fs.listStatus(hadoop)]
+    return sorted((p.getName()[len(prefix) :], p.toString()) for p in found if p.getName().startswith(prefix))
+
+
+def delete_folders(spark: SparkSession, paths: list[str]) -> None:
+    """Delete folders with all they hold."""
+    for name in paths:
+        fs, hadoop = _file_system(spark, name)
+        fs.delete(hadoop, True)
+
+
 def drop_partitions_before(spark: SparkSession, path: str, column: str, day: str) -> list[str]:
     """Delete the date partitions of a folder that are older than ``day``; returns their names."""
     fs, hadoop = _file_system(spark, path)

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,7 +35,8 @@ from airmetrics.sources.events import (
 )
 from airmetrics.sources.folders import drop_partitions_before, path_exists
 from airmetrics.sources.readings import time_range
-from airmetrics.sources.snapshots import read_snapshots, write_snapshots
+from airmetrics.sources.snapshots import read_snapshots, snapshot_versions, write_snapshots
+from airmetrics.streaming.bronze import MIN_BATCHES, Bronze
 
 REASONS = (MISSING_FIELD, BAD_TYPE, CORRUPT)
 DEAD_LETTER = "event_id string, reason string, raw string, ingested_at timestamp, ingest_day date, batch_id bigint"
@@ -53,8 +55,8 @@ class StreamTables:
     contract: Contract
 
     @property
-    def bronze(self) -> str:
-        return f"{self.base}/bronze"
+    def bronze(self) -> Bronze:
+        return Bronze(self.base, self.bronze_schema())
 
     @property
     def dead(self) -> str:
@@ -72,6 +74,14 @@ class StreamTables:
     def days(self) -> str:
         return f"{self.base}/days"
 
+    @property
+    def late(self) -> str:
+        return f"{self.base}/late"
+
+    @property
+    def late_done(self) -> str:
+        return f"{self.base}/late_done"
+
     @property
     def checkpoint(self) -> str:
         return f"{self.base}/checkpoint"
@@ -82,7 +92,7 @@ class StreamTables:
         return f"{ids}, {sensors}, ingested_at timestamp, day date, batch_id bigint"
 
     def read_bronze(self, spark: SparkSession) -> DataFrame:
-        return _read(spark, self.bronze, self.bronze_schema())
+        return self.bronze.read(spark)
 
     def readings(self, spark: SparkSession, days: list | None = None) -> DataFrame:
         """Deduplicated readings of the given days, ready for a run by period."""
@@ -95,6 +105,10 @@ class StreamTables:
     def read_dead_letters(self, spark: SparkSession) -> DataFrame:
         return _read(spark, self.dead, DEAD_LETTER)
 
+    def read_late(self, spark: SparkSession) -> DataFrame:
+        """Events that came behind the watermark of their batch, with that watermark."""
+        return _read(spark, self.late, f"{self.bronze_schema()}, watermark timestamp")
+
 
 def start_stream(
     raw: DataFrame,
@@ -104,17 +118,23 @@ def start_stream(
     trigger: dict | None = None,
     query_name: str | None = None,
     lookback: bool = False,
+    snapshots: bool = True,
+    lateness: str | None = None,
 ) -> StreamingQuery:
     """Start the consumer on a stream with a ``raw`` string column.
 
     The default trigger works off what is there and stops. With ``lookback`` the days are also kept
-    as summaries that add up across midnight (see :func:`day_totals`). Bound the size of a micro-batch at
+    as summaries that add up across midnight (see :func:`day_totals`). Without ``snapshots`` events are
+    only landed; ``replay`` computes the days. With ``lateness`` (an interval such as ``1 hour``) events
+    further than that behind the newest one of earlier batches go to the late table as well, and days
+    that only they touch wait for :func:`replay_late` instead of being redone at once. Bound the size of a micro-batch at
     the source (``maxFilesPerTrigger``, ``maxOffsetsPerTrigger``).
     """
     tables = StreamTables(base, contract)
     # The batch time is part of Spark's offset log: a repeated batch gets the same value.
     stamped = raw.select("raw", F.current_timestamp().alias("ingested_at"))
-    writer = stamped.writeStream.foreachBatch(batch_handler(tables, config, lookback))
+    handler = batch_handler(tables, config, lookback, snapshots, lateness)
+    writer = stamped.writeStream.foreachBatch(handler)
     writer = writer.option("checkpointLocation", tables.checkpoint)
     if query_name is not None:
         writer = writer.queryName(query_name)
@@ -122,7 +142,11 @@ def start_stream(
 
 
 def batch_handler(
-    tables: StreamTables, config: PipelineConfig = PipelineConfig(), lookback: bool = False
+    tables: StreamTables,
+    config: PipelineConfig = PipelineConfig(),
+    lookback: bool = False,
+    snapshots: bool = True,
+    lateness: str | None = None,
 ) -> Callable[[DataFrame, int], None]:
     """What happens to one micro-batch; any transport may call it."""
 
@@ -132,15 +156,22 @@ def batch_handler(
         parsed = parse_events(batch, tables.contract, keep=("ingested_at",)).persist()
         try:
             good = good_events(parsed).withColumn("day", F.to_date("timestamp"))
-            _write_batch(good, tables.bronze, batch_id, "day")
+            _write_batch(good, tables.bronze.raw, batch_id, "day")
             dead = dead_letters(parsed, keep=("ingested_at",))
             dead = dead.withColumn("ingest_day", F.to_date("ingested_at"))
             _write_batch(dead, tables.dead, batch_id, "ingest_day")
-            touched = good.select("station_id", F.col("day").alias("period")).distinct()
+            fresh = good
+            if lateness is not None:
+                mark = F.timestamp_micros(F.lit(watermark(spark, tables, batch_id, lateness)).cast("bigint"))
+                behind = F.coalesce(F.col("timestamp") < mark, F.lit(False))
+                _write_batch(good.filter(behind).withColumn("watermark", mark), tables.late, batch_id, "day")
+                fresh = good.filter(~behind)
+            touched = fresh.select("station_id", F.col("day").alias("period")).distinct()
             # Calendar days of one batch, not rows: they prune bronze to the folders needed.
             days = [r.period for r in touched.select("period").distinct().collect()]
             if days:
-                recompute(spark, tables, days, touched, config, f"stream-{batch_id}")
+                if snapshots:
+                    recompute(spark, tables, days, touched, config, f"stream-{batch_id}")
                 if lookback:
                     add_days(spark, tables, touched, config, f"stream-{batch_id}")
             _write_batch(batch_status(parsed), tables.status, batch_id)
@@ -215,6 +246,53 @@ def replay(
     return read_snapshots(spark, tables.snapshots, start=start, end=end)
 
 
+def watermark(spark: SparkSession, tables: StreamTables, batch_id: int, lateness: str) -> int | None:
+    """The newest event time of the batches before this one, less ``lateness``, in microseconds.
+
+    The first batch has none. It comes from the status table, so a repeated batch and a restarted stream get the same one.
+    """
+    before = _read(spark, tables.status, STATUS).filter(F.col("batch_id") < batch_id)
+    mark = F.unix_micros(F.max("last_event_at") - F.expr(f"INTERVAL {lateness}")).alias("mark")
+    return before.agg(mark).first().mark
+
+
+def late_days(spark: SparkSession, tables: StreamTables) -> DataFrame:
+    """Stations and days with late events that no replay has taken in, with their number."""
+    done = _read(spark, tables.late_done, "batch_id bigint, replay_id string")
+    rows = tables.read_late(spark).join(done.select("batch_id").distinct(), on="batch_id", how="left_anti")
+    return rows.groupBy("station_id", F.col("day").alias("period")).agg(F.count(F.lit(1)).alias("events"))
+
+
+def replay_late(
+    spark: SparkSession, tables: StreamTables, config: PipelineConfig = PipelineConfig(), lookback: bool = False
+) -> DataFrame:
+    """Run the days that wait for late events, each once, and return what was stored for them.
+
+    What is taken in is settled first and marked done last: a replay that dies is repeated, and events
+    that come meanwhile wait for the next one. The newest batch may still be written again; it is taken
+    in all the same, since a repeated batch holds the same events.
+    """
+    replay_id = f"late-{uuid4().hex}"
+    done = _read(spark, tables.late_done, "batch_id bigint, replay_id string").select("batch_id").distinct()
+    # Numbers of micro-batches, not rows.
+    batches = [r.batch_id for r in tables.read_late(spark).select("batch_id").distinct().join(done, "batch_id", "left_anti").collect()]
+    taken = tables.read_late(spark).filter(F.col("batch_id").isin(batches))
+    touched = taken.select("station_id", F.col("day").alias("period")).distinct()
+    days = [r.period for r in touched.select("period").distinct().collect()]
+    if days:
+        recompute(spark, tables, days, touched, config, replay_id)
+        if lookback:
+            add_days(spark, tables, touched, config, replay_id)
+        marks = spark.createDataFrame([(b, replay_id) for b in batches], "batch_id bigint, replay_id string")
+        marks.coalesce(1).write.mode("append").parquet(tables.late_done)
+    return snapshot_versions(spark, tables.snapshots).filter(F.col("batch_id") == replay_id)
+
+
+def compact_bronze(spark: SparkSession, tables: StreamTables, min_batches: int = MIN_BATCHES) -> list:
+    """Rewrite days of many micro-batches as few files; returns the days (see :mod:`airmetrics.streaming.bronze`)."""
+    return tables.bronze.compacted(spark, min_batches)
+
+
 def backfill(
     spark: SparkSession,
     tables: StreamTables,
@@ -232,7 +310,7 @@ def drop_dead_letters_before(spark: SparkSession, tables: StreamTables, day: str
 
 def drop_bronze_before(spark: SparkSession, tables: StreamTables, day: str) -> list[str]:
     """Retention: remove bronze readings of days before ``day``; they can no longer be replayed."""
-    return drop_partitions_before(spark, tables.bronze, "day", day)
+    return tables.bronze.drop_before(spark, day)
 
 
 def drop_snapshots_before(spark: SparkSession, tables: StreamTables, month: str) -> list[str]:

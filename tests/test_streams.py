@@ -1,6 +1,7 @@
 """Event streams: malformed input, repeats, restarts, late data."""
 
 import json
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -25,9 +26,13 @@ from airmetrics.streaming.consumer import (
     backlog,
     waiting_files,
     batch_handler,
+    compact_bronze,
+    drop_bronze_before,
     drop_dead_letters_before,
+    late_days,
     processing_status,
     replay,
+    replay_late,
     start_stream,
 )
 from airmetrics.streaming.windows import dedupe_stream, window_aggregates
@@ -166,3 +171,88 @@ def test_stream_windows_and_late_data(spark, contract, salts):
     assert run() == [(0, 2, 1, 4.0)]
     land(spark, src, "2", [event("late", 3), event("d", 241, discharge_pressure=6), event("z", 400)])
     assert run() == [(0, 2, 1, 4.0), (4, 2, 0, 7.0)]
+
+
+def stamped(spark, events):
+    return raw(spark, events).withColumn("ingested_at", F.lit("2024-02-01 00:00:00").cast("timestamp"))
+
+
+def files_of(folder):
+    return len(list(Path(folder).rglob("part-*.parquet")))
+
+
+def test_many_batches_become_few_files(spark, contract):
+    tables = StreamTables(shared_folder(spark, "out"), contract)
+    handle = batch_handler(tables, HOURLY, snapshots=False)
+    batches = [[event(f"{day}-{n}", 1440 * day + n, discharge_pressure=n) for day in (0, 1)] for n in range(6)]
+    for n, events in enumerate(batches):
+        handle(stamped(spark, events), n)
+    assert read_snapshots(spark, tables.snapshots).count() == 0
+
+    def held():
+        return sorted((r.event_id, r.batch_id, r[PRESSURE]) for r in tables.read_bronze(spark).collect())
+
+    def rebuilt():
+        rows = replay(spark, tables, config=HOURLY).collect()
+        return sorted((r.slot, str(r.metrics), str(r.data_quality)) for r in rows)
+
+    before, snapshots = held(), rebuilt()
+    assert compact_bronze(spark, tables, min_batches=7) == []
+    assert len(compact_bronze(spark, tables, min_batches=4)) == 2
+    assert held() == before and rebuilt() == snapshots
+    # The newest batch is not in the version: it may come again.
+    handle(stamped(spark, batches[5]), 5)
+    assert held() == before
+    # The replaced files stay for readers that run, until the next compaction.
+    assert files_of(tables.bronze.raw) == 12
+    planned = tables.read_bronze(spark)
+    handle(stamped(spark, [event("late", 3), event("new", 2880)]), 6)
+    assert compact_bronze(spark, tables, min_batches=2) == []
+    assert len(compact_bronze(spark, tables, min_batches=1)) == 2
+    assert planned.count() == 12 and len(held()) == 14
+    # Two days in versions, and what is of the newest batch.
+    tables.bronze.clean(spark)
+    assert files_of(tables.bronze.raw) + files_of(tables.bronze.compact) <= 5 and len(held()) == 14
+    assert drop_bronze_before(spark, tables, "2024-01-02") == ["2024-01-01"]
+    assert {r[0][0] for r in held()} == {"1", "n"}
+
+
+def test_a_compaction_that_died_is_not_seen(spark, contract):
+    tables = StreamTables(shared_folder(spark, "out"), contract)
+    handle = batch_handler(tables, HOURLY, snapshots=False)
+    for n in range(3):
+        handle(stamped(spark, [event(f"e{n}", n)]), n)
+    rows = tables.read_bronze(spark)
+    rows.write.partitionBy("day").parquet(f"{tables.bronze.compact}/version=dead")
+    assert tables.read_bronze(spark).count() == 3
+    compact_bronze(spark, tables, min_batches=2)
+    assert not Path(f"{tables.bronze.compact}/version=dead").exists()
+    assert tables.read_bronze(spark).count() == 3
+    empty = StreamTables(shared_folder(spark, "none"), contract)
+    assert compact_bronze(spark, empty) == [] and empty.read_bronze(spark).count() == 0
+
+
+def test_late_events_wait_for_a_replay(spark, contract):
+    tables = StreamTables(shared_folder(spark, "out"), contract)
+    handle = batch_handler(tables, HOURLY, lateness="1 hour")
+    handle(stamped(spark, [event("a", 10, discharge_pressure=4), event("b", 1500, discharge_pressure=4)]), 0)
+    second = [event("c", 20, discharge_pressure=8), event("d", 1490), event("e", 1441), *BROKEN]
+    for _ in range(2):  # a repeated batch has the same watermark
+        handle(stamped(spark, second), 1)
+    late = tables.read_late(spark).collect()
+    assert sorted(r.event_id for r in late) == ["c"]
+    assert {str(r.watermark) for r in late} == {"2024-01-02 00:00:00"}
+
+    def rows_of(slot):
+        return {r.slot: r.metrics.extras.rows_processed for r in read_snapshots(spark, tables.snapshots).collect()}[slot]
+
+    # The first day was not redone; bronze has the event.
+    assert rows_of("period 2024-01-01") == 1 and rows_of("period 2024-01-02") == 2
+    assert tables.read_bronze(spark).count() == 5
+    assert [tuple(r) for r in late_days(spark, tables).collect()] == [("s1", late[0].day, 1)]
+    assert replay_late(spark, tables, HOURLY).count() == 1
+    day = {r.slot: r for r in read_snapshots(spark, tables.snapshots).collect()}["period 2024-01-01"]
+    assert day.metrics.devices[0].metrics.average_pressure_bar == 6.0
+    assert late_days(spark, tables).count() == 0 and replay_late(spark, tables, HOURLY).count() == 0
+    status = processing_status(spark, tables).first()
+    assert (status.processed, status.errors) == (5, 3)

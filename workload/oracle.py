@@ -546,6 +546,16 @@ ORACLE: dict[str, str] = {
     "stream_replay": sql(
         SPLIT_DAYS, DAY_METRICS_OUT + " where day between date '2024-01-08' and date '2024-01-09'"
     ),
+    "stream_compacted": sql(
+        SPLIT_DAYS, DAY_METRICS_OUT + " where day between date '2024-01-08' and date '2024-01-09'"
+    ),
+    "stream_late": sql(
+        [f"g as (select * from r where {GOOD})"],
+        f"""select station_id, {DAY} as period, cast(sum({COPIES}) as bigint) as events from g
+  where timestamp < timestamp '2024-01-20 06:00:00' and timestamp < (select max(timestamp) - interval '1 hour' from g)
+  group by all""",
+    ),
+    "stream_late_replay": sql(SPLIT_DAYS, DAY_METRICS_OUT),
 }
 
 BUSIEST = [

@@ -51,9 +51,12 @@ from airmetrics.sources.snapshots import (
 from airmetrics.streaming.consumer import (
     StreamTables,
     batch_handler,
+    compact_bronze,
     day_totals,
+    late_days,
     processing_status,
     replay,
+    replay_late,
     start_stream,
 )
 from airmetrics.streaming.windows import dedupe_stream, window_aggregates
@@ -621,6 +624,45 @@ def stream_lookback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat(day_totals(spark, tables, HOURLY), "station_id", "device_id", *METRICS)
 
 
+def _deliver(spark: SparkSession, sf_dir: str, parts: list, **options: object) -> StreamTables:
+    """A consumer that has seen the events in micro-batches, one per condition."""
+    tables = StreamTables(shared_folder(spark, "consumer"), CONTRACT)
+    handle = batch_handler(tables, HOURLY, **options)
+    for batch_id, part in enumerate(parts):
+        raw = as_raw(readings(spark, sf_dir).filter(part))
+        handle(raw.withColumn("ingested_at", F.current_timestamp()), batch_id)
+    return tables
+
+
+def stream_compacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Some days rebuilt from bronze whose micro-batches were rewritten as few files, twice."""
+    parts = [F.col("event_id") % 5 == n for n in range(5)]
+    tables = _deliver(spark, sf_dir, parts[:4], snapshots=False)
+    compact_bronze(spark, tables, min_batches=2)
+    last = as_raw(readings(spark, sf_dir).filter(parts[4])).withColumn("ingested_at", F.current_timestamp())
+    batch_handler(tables, HOURLY, snapshots=False)(last, 4)
+    compact_bronze(spark, tables, min_batches=1)
+    return _stream_day_metrics(replay(spark, tables, "2024-01-08T00:00:00Z", "2024-01-09T23:59:59Z", HOURLY))
+
+
+def _late(spark: SparkSession, sf_dir: str, **options: object) -> StreamTables:
+    """The events before 20 January come in the second micro-batch, behind the watermark."""
+    early = F.col("timestamp") < F.lit(datetime(2024, 1, 20, 6, tzinfo=timezone.utc))
+    return _deliver(spark, sf_dir, [~early, early], lateness="1 hour", **options)
+
+
+def stream_late(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stations and days that wait for a replay, with their late events."""
+    return late_days(spark, _late(spark, sf_dir, snapshots=False))
+
+
+def stream_late_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily metrics after the days of late events were run."""
+    tables = _late(spark, sf_dir)
+    replay_late(spark, tables, HOURLY)
+    return _stream_day_metrics(read_snapshots(spark, tables.snapshots))
+
+
 QUERIES: dict[str, Query] = {
     "read_window": read_window,
     "contract_check": contract_check,
@@ -702,4 +744,7 @@ QUERIES: dict[str, Query] = {
     "stream_snapshots": stream_snapshots,
     "stream_replay": stream_replay,
     "stream_lookback": stream_lookback,
+    "stream_compacted": stream_compacted,
+    "stream_late": stream_late,
+    "stream_late_replay": stream_late_replay,
 }
