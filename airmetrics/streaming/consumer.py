@@ -10,9 +10,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from datetime import datetime, timezone
 from uuid import uuid4
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
@@ -43,7 +44,8 @@ DEAD_LETTER = "event_id string, reason string, raw string, ingested_at timestamp
 STATUS = (
     "ingested_at timestamp, received bigint, processed bigint, "
     + ", ".join(f"{r} bigint" for r in REASONS)
-    + ", last_event_at timestamp, batch_id bigint"
+    + ", last_event_at timestamp, late bigint, newest_event_at timestamp, watermark timestamp, "
+    + "started_at timestamp, finished_at timestamp, batch_id bigint"
 )
 
 
@@ -151,7 +153,10 @@ def batch_handler(
     """What happens to one micro-batch; any transport may call it."""
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
+        spark, started = batch.sparkSession, datetime.now(timezone.utc)
+        newest = newest_event(spark, tables, batch_id)
+        # Null for the first batch, and without a lateness: nothing is behind it.
+        mark = F.timestamp_micros(F.lit(newest if lateness else None).cast("bigint")) - F.expr(f"INTERVAL {lateness or '0 seconds'}")
         # Read four times below; its size is bounded by the source's rate limit.
         parsed = parse_events(batch, tables.contract, keep=("ingested_at",)).persist()
         try:
@@ -162,7 +167,6 @@ def batch_handler(
             _write_batch(dead, tables.dead, batch_id, "ingest_day")
             fresh = good
             if lateness is not None:
-                mark = F.timestamp_micros(F.lit(watermark(spark, tables, batch_id, lateness)).cast("bigint"))
                 behind = F.coalesce(F.col("timestamp") < mark, F.lit(False))
                 _write_batch(good.filter(behind).withColumn("watermark", mark), tables.late, batch_id, "day")
                 fresh = good.filter(~behind)
@@ -174,7 +178,17 @@ def batch_handler(
                     recompute(spark, tables, days, touched, config, f"stream-{batch_id}")
                 if lookback:
                     add_days(spark, tables, touched, config, f"stream-{batch_id}")
-            _write_batch(batch_status(parsed), tables.status, batch_id)
+            status = batch_status(parsed, mark)
+            before = F.timestamp_micros(F.lit(newest).cast("bigint"))
+            status = status.withColumns(
+                {
+                    "newest_event_at": F.greatest(before, "last_event_at"),
+                    "watermark": mark,
+                    "started_at": F.lit(started),
+                    "finished_at": F.current_timestamp(),
+                }
+            )
+            _write_batch(status, tables.status, batch_id)
         finally:
             parsed.unpersist()
 
@@ -246,14 +260,19 @@ def replay(
     return read_snapshots(spark, tables.snapshots, start=start, end=end)
 
 
-def watermark(spark: SparkSession, tables: StreamTables, batch_id: int, lateness: str) -> int | None:
-    """The newest event time of the batches before this one, less ``lateness``, in microseconds.
+def newest_event(spark: SparkSession, tables: StreamTables, batch_id: int) -> int | None:
+    """The newest event time of the batches before this one, in microseconds; the first has none.
 
-    The first batch has none. It comes from the status table, so a repeated batch and a restarted stream get the same one.
+    Every batch's status carries it on, so a repeated batch and a restarted stream get the same one, and
+    only the folder of the batch before is read; where ids have gaps, all are.
     """
-    before = _read(spark, tables.status, STATUS).filter(F.col("batch_id") < batch_id)
-    mark = F.unix_micros(F.max("last_event_at") - F.expr(f"INTERVAL {lateness}")).alias("mark")
-    return before.agg(mark).first().mark
+    last = f"{tables.status}/batch_id={batch_id - 1}"
+    if path_exists(spark, last):
+        rows = spark.read.schema(STATUS).parquet(last)
+    else:
+        rows = _read(spark, tables.status, STATUS).filter(F.col("batch_id") < batch_id)
+    newest = F.unix_micros(F.max(F.greatest("last_event_at", "newest_event_at"))).alias("newest")
+    return rows.agg(newest).first().newest
 
 
 def late_days(spark: SparkSession, tables: StreamTables) -> DataFrame:
@@ -318,14 +337,16 @@ def drop_snapshots_before(spark: SparkSession, tables: StreamTables, month: str)
     return drop_partitions_before(spark, tables.snapshots, "window_month", month)
 
 
-def batch_status(parsed: DataFrame) -> DataFrame:
-    """One row of counts for a parsed batch."""
+def batch_status(parsed: DataFrame, watermark: Column | None = None) -> DataFrame:
+    """One row of counts for a parsed batch; ``late`` are good events behind the watermark."""
+    behind = F.lit(False) if watermark is None else F.coalesce(F.col("timestamp") < watermark, F.lit(False))
     return parsed.agg(
         F.max("ingested_at").alias("ingested_at"),
         F.count(F.lit(1)).alias("received"),
         count_if(F.col("reason").isNull()).alias("processed"),
         *[count_if(F.col("reason") == r).alias(r) for r in REASONS],
         F.max(F.when(F.col("reason").isNull(), F.col("timestamp"))).alias("last_event_at"),
+        count_if(F.col("reason").isNull() & behind).alias("late"),
     )
 
 
@@ -345,6 +366,43 @@ def processing_status(spark: SparkSession, tables: StreamTables) -> DataFrame:
     )
 
 
+def batch_log(spark: SparkSession, tables: StreamTables) -> DataFrame:
+    """One row per micro-batch: counts, late events, watermark, event-time lag, time taken and rate.
+
+    A repeated batch has the row of its last try.
+    """
+    errors = sum((F.coalesce(r, F.lit(0)) for r in REASONS[1:]), F.coalesce(REASONS[0], F.lit(0)))
+    seconds = (F.unix_micros("finished_at") - F.unix_micros("started_at")) / 1e6
+    return _read(spark, tables.status, STATUS).select(
+        "batch_id",
+        "received",
+        "processed",
+        errors.alias("errors"),
+        F.coalesce("late", F.lit(0)).alias("late"),
+        "last_event_at",
+        "newest_event_at",
+        "watermark",
+        F.timestamp_diff("SECOND", F.col("newest_event_at"), F.col("ingested_at")).alias("lag_seconds"),
+        seconds.alias("seconds"),
+        F.try_divide("received", seconds).alias("rows_per_second"),
+    )
+
+
+def backlog_status(spark: SparkSession, source: str, tables: StreamTables) -> DataFrame:
+    """One row: what waits at a file source, and the lag and rate of the newest batch.
+
+    It reads tables and the checkpoint only, so it works while the stream is down.
+    """
+    waits = waiting(spark, source, tables).agg(
+        F.count(F.lit(1)).alias("waiting_files"),
+        F.coalesce(F.sum("length"), F.lit(0)).alias("waiting_bytes"),
+        F.min("modificationTime").alias("waiting_since"),
+    )
+    newest = F.max_by(F.struct("batch_id", "newest_event_at", "lag_seconds", "rows_per_second"), "batch_id").alias("_b")
+    # Two rows, one of each.
+    return waits.join(batch_log(spark, tables).agg(newest), how="inner", on=F.lit(True)).select(*waits.columns, "_b.*")
+
+
 def backlog(query: StreamingQuery) -> dict:
     """What the source reports as still waiting, with the current rates.
 
@@ -366,17 +424,23 @@ def backlog(query: StreamingQuery) -> dict:
     }
 
 
-def waiting_files(spark: SparkSession, source: str, tables: StreamTables) -> int:
+def waiting(spark: SparkSession, source: str, tables: StreamTables) -> DataFrame:
     """Files of a file source that no batch has taken up yet, from the checkpoint's file log."""
     plain = "regexp_replace(%s, '^file:/+', 'file:/')"
-    # Only names are read, not the content of the files.
-    there = spark.read.format("binaryFile").load(source).select(F.expr(f"{plain % 'path'} AS path"))
+    # Only names, lengths and times are read, not the content of the files.
+    files = spark.read.format("binaryFile").load(source)
+    there = files.select(F.expr(f"{plain % 'path'} AS path"), "length", "modificationTime")
     log = f"{tables.checkpoint}/sources/0"
     if not path_exists(spark, log):
-        return there.count()
+        return there
     taken = "url_decode(replace(get_json_object(value, '$.path'), '+', '%2B'))"
     lines = spark.read.text(log).filter(F.col("value").startswith("{"))
-    return there.join(lines.select(F.expr(f"{plain.replace('%s', taken)} AS path")), "path", "left_anti").count()
+    return there.join(lines.select(F.expr(f"{plain.replace('%s', taken)} AS path")), "path", "left_anti")
+
+
+def waiting_files(spark: SparkSession, source: str, tables: StreamTables) -> int:
+    """How many files of a file source no batch has taken up yet."""
+    return waiting(spark, source, tables).count()
 
 
 def _write_batch(df: DataFrame, path: str, batch_id: int, *partitions: str) -> None:

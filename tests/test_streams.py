@@ -24,8 +24,9 @@ from airmetrics.streaming.consumer import (
     StreamTables,
     backfill,
     backlog,
-    waiting_files,
+    backlog_status,
     batch_handler,
+    batch_log,
     compact_bronze,
     drop_bronze_before,
     drop_dead_letters_before,
@@ -34,6 +35,7 @@ from airmetrics.streaming.consumer import (
     replay,
     replay_late,
     start_stream,
+    waiting_files,
 )
 from airmetrics.streaming.windows import dedupe_stream, window_aggregates
 from tests.conftest import SENSORS
@@ -111,6 +113,9 @@ def test_consumer_equals_batch(spark, contract, frame):
     land(spark, src, "e", texts[:1])
     assert waiting_files(spark, f"{src}/*", tables) == 2
     assert waiting_files(spark, f"{src}/*", StreamTables(shared_folder(spark, "new"), contract)) == 4
+    (now,) = backlog_status(spark, f"{src}/*", tables).collect()
+    assert (now.waiting_files, now.batch_id) == (2, 1) and now.lag_seconds > 0 and now.rows_per_second > 0
+    assert now.waiting_bytes == 2 * (len(texts[0]) + 1) and now.waiting_since is not None
 
     def by_day(rows):
         return {(str(r.window_start), str(r.data_quality), str(r.metrics)) for r in rows}
@@ -149,6 +154,11 @@ def test_empty_consumer(spark, contract):
     tables = StreamTables(shared_folder(spark, "none"), contract)
     assert processing_status(spark, tables).first().processed == 0
     assert tables.readings(spark).count() == 0
+    assert batch_log(spark, tables).count() == 0
+    source = shared_folder(spark, "src")
+    raw(spark, ["x"]).coalesce(1).write.text(source)
+    (now,) = backlog_status(spark, source, tables).collect()
+    assert (now.waiting_files, now.batch_id, now.rows_per_second) == (1, None, None)
 
 
 @pytest.mark.parametrize("salts", [1, 4])
@@ -256,3 +266,8 @@ def test_late_events_wait_for_a_replay(spark, contract):
     assert late_days(spark, tables).count() == 0 and replay_late(spark, tables, HOURLY).count() == 0
     status = processing_status(spark, tables).first()
     assert (status.processed, status.errors) == (5, 3)
+    log = batch_log(spark, tables).orderBy("batch_id").collect()
+    assert [(r.batch_id, r.received, r.processed, r.errors, r.late) for r in log] == [(0, 2, 2, 0, 0), (1, 6, 3, 3, 1)]
+    assert log[0].watermark is None and log[1].watermark == late[0].watermark
+    assert log[1].newest_event_at == log[0].last_event_at > log[1].last_event_at
+    assert all(r.seconds > 0 and r.rows_per_second > 0 for r in log)

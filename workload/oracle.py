@@ -554,6 +554,19 @@ ORACLE: dict[str, str] = {
         f"""select station_id, {DAY} as period, cast(sum({COPIES}) as bigint) as events from g
   where timestamp < timestamp '2024-01-20 06:00:00' and timestamp < (select max(timestamp) - interval '1 hour' from g)
   group by all""",
+    ),
+    "stream_batch_log": sql(
+        [
+            "b as (select *, case when timestamp < timestamp '2024-01-20 06:00:00' then 1 else 0 end as batch_id from r)",
+            f"newest as (select max(timestamp) as top_at from b where batch_id = 0 and {GOOD})",
+        ],
+        f"""select cast(batch_id as bigint) as batch_id, cast(sum({COPIES}) as bigint) as received,
+  cast(sum(case when {GOOD} then {COPIES} else 0 end) as bigint) as processed,
+  cast(sum(case when {GOOD} then 0 else {COPIES} end) as bigint) as errors,
+  cast(sum(case when {GOOD} and batch_id = 1 and timestamp < top_at - interval '1 hour' then {COPIES} else 0 end) as bigint) as late,
+  max(case when {GOOD} then timestamp end) as last_event_at, any_value(top_at) as newest_event_at,
+  any_value(case when batch_id = 1 then top_at - interval '1 hour' end) as watermark
+  from b, newest group by batch_id""",
     ),
     "stream_late_replay": sql(SPLIT_DAYS, DAY_METRICS_OUT),
 }

@@ -51,6 +51,7 @@ from airmetrics.sources.snapshots import (
 from airmetrics.streaming.consumer import (
     StreamTables,
     batch_handler,
+    batch_log,
     compact_bronze,
     day_totals,
     late_days,
@@ -656,6 +657,14 @@ def stream_late(spark: SparkSession, sf_dir: str) -> DataFrame:
     return late_days(spark, _late(spark, sf_dir, snapshots=False))
 
 
+def stream_batch_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every micro-batch received, rejected and found late, and how far the stream had come."""
+    rows = batch_log(spark, _late(spark, sf_dir, snapshots=False))
+    return flat(
+        rows, "batch_id", "received", "processed", "errors", "late", "last_event_at", "newest_event_at", "watermark"
+    )
+
+
 def stream_late_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily metrics after the days of late events were run."""
     tables = _late(spark, sf_dir)
@@ -746,5 +755,6 @@ QUERIES: dict[str, Query] = {
     "stream_lookback": stream_lookback,
     "stream_compacted": stream_compacted,
     "stream_late": stream_late,
+    "stream_batch_log": stream_batch_log,
     "stream_late_replay": stream_late_replay,
 }
