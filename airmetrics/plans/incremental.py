@@ -106,7 +106,7 @@ def run_days(
     config: PipelineConfig,
 ) -> DataFrame:
     """Run the days of ``pending``; ``readings`` may be a function that reads the days it is given."""
-    run_id = uuid4().hex
+    run_id, started = uuid4().hex, datetime.now(timezone.utc)
     pending = pending.withColumn("run_id", F.lit(run_id))
     pending.write.mode("append").parquet(f"{ledger}/planned")
     planned = spark.read.schema(LEDGER).parquet(f"{ledger}/planned").filter(F.col("run_id") == run_id)
@@ -119,7 +119,7 @@ def run_days(
     write_snapshots(results, path, batch_id=run_id)
     marker = spark.range(1).select(F.lit(run_id).alias("run_id"), F.current_timestamp().alias("finished_at"))
     marker.write.mode("append").parquet(f"{ledger}/done")
-    return receipts(spark, path, run_id)
+    return receipts(spark, path, run_id, started)
 
 
 def pending_range(readings: DataFrame, planned: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from datetime import datetime, timezone
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -125,7 +126,8 @@ def process(
 ) -> DataFrame:
     """Run, store the snapshots, and return one receipt per station."""
     run = run_pipeline(readings, contract, config, by, stations)
-    return receipts(spark, path, write_snapshots(run.results, path))
+    started = datetime.now(timezone.utc)
+    return receipts(spark, path, write_snapshots(run.results, path), started)
 
 
 @dataclass(frozen=True)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import datetime, timezone
+from datetime import datetime, timedelta, timezone
 from urllib.parse import unquote
 from uuid import uuid4
 
@@ -18,7 +18,12 @@ from airmetrics.sources.folders import delete_files, path_exists
 # data spans, or the period when results are kept per period (its span may grow with late data).
 KEY = ("station_id", "slot")
 WINDOW = ("station_id", "window_start", "window_end")
+# A table is laid out by the months a slot begins and ends in. A slot never changes them, so all versions
+# of a key lie together, and reads are cut at both ends.
+MONTHS = ("window_month", "last_month")
 EMPTY_MONTH = "empty"
+#: How far the clocks of the file system and of the driver may differ.
+CLOCK_SKEW = timedelta(hours=1)
 
 _COUNTS = ("uptime_seconds", "cycle_count", "reading_count")
 METRIC_VALUES = T.StructType(
@@ -82,6 +87,7 @@ SNAPSHOT = T.StructType(
         T.StructField("data_quality", QUALITY),
         T.StructField("metrics", RESULT),
         T.StructField("window_month", T.StringType()),
+        T.StructField("last_month", T.StringType()),
     ]
 )
 
@@ -94,9 +100,9 @@ def snapshot_rows(
     if "period" in results.columns:
         slot = F.concat(F.lit("period "), F.col("period").cast("string"))
         # The period never moves; the window of its rows may, and with it the newest version.
-        month = F.date_format("period", "yyyy-MM")
+        month = last = F.date_format("period", "yyyy-MM")
     else:
-        month = F.date_format("window_start_ts", "yyyy-MM")
+        month, last = (F.date_format(f"window_{side}_ts", "yyyy-MM") for side in ("start", "end"))
         slot = F.concat_ws("/", "window_start", "window_end")
     rows = results.withColumn("slot", slot).withColumns(
         {
@@ -104,6 +110,7 @@ def snapshot_rows(
             "computed_at": F.lit(at),
             "batch_id": F.lit(batch_id or uuid4().hex),
             "window_month": F.coalesce(month, F.lit(EMPTY_MONTH)),
+            "last_month": F.coalesce(last, F.lit(EMPTY_MONTH)),
         }
     )
     return rows.select(*SNAPSHOT.names)
@@ -123,15 +130,22 @@ def write_snapshots(
     batch_id = batch_id or uuid4().hex
     rows = snapshot_rows(results, computed_at, batch_id)
     # Few files per month, and several when a month holds very many stations.
-    rows.hint("rebalance", "window_month").write.mode("append").partitionBy("window_month").parquet(path)
+    rows.hint("rebalance", *MONTHS).write.mode("append").partitionBy(*MONTHS).parquet(path)
     return batch_id
 
 
-def snapshot_versions(spark: SparkSession, path: str) -> DataFrame:
-    """All stored versions; a table not yet written reads as empty."""
+def snapshot_versions(spark: SparkSession, path: str, since: datetime | None = None) -> DataFrame:
+    """All stored versions; a table not yet written reads as empty.
+
+    ``since`` leaves out files that were finished before it; they are listed, not opened.
+    """
     if not path_exists(spark, path):
         return spark.createDataFrame([], SNAPSHOT)
-    return spark.read.schema(SNAPSHOT).parquet(path)
+    reader = spark.read.schema(SNAPSHOT)
+    if since is not None:
+        after = f"{(since - CLOCK_SKEW).astimezone(timezone.utc):%Y-%m-%dT%H:%M:%S}"
+        reader = reader.option("modifiedAfter", after).option("timeZone", "UTC")
+    return reader.parquet(path)
 
 
 def newest(versions: DataFrame) -> DataFrame:
@@ -167,13 +181,16 @@ def read_snapshots(
     end: str | datetime | None = None,
     device_id: str | None = None,
 ) -> DataFrame:
-    """Current snapshots, newest first. The station filter and the end month reach the scan."""
+    """Current snapshots, newest first. The station filter and the months of the range reach the scan."""
     rows = snapshot_versions(spark, path)
     if station_id is not None:
         rows = rows.filter(F.col("station_id") == station_id)
+    # A window or period that ends in an earlier month or begins in a later one cannot overlap, whichever
+    # version is current: all versions of a key have the same months.
+    if (since := parse_bound(start)) is not None:
+        last = F.col("last_month")
+        rows = rows.filter((last >= f"{since.astimezone(timezone.utc):%Y-%m}") | (last == EMPTY_MONTH))
     if (until := parse_bound(end)) is not None:
-        # A window or period of a later month cannot overlap, whichever version is current: all
-        # versions of a key lie in one month.
         month = F.col("window_month")
         rows = rows.filter((month <= f"{until.astimezone(timezone.utc):%Y-%m}") | (month == EMPTY_MONTH))
     rows = overlapping(newest(rows), start, end)
@@ -183,7 +200,7 @@ def read_snapshots(
 
 
 def compact_snapshots(spark: SparkSession, path: str, months: list[str] | None = None) -> None:
-    """Rewrite months so that only current versions remain; other months are not touched.
+    """Rewrite months (in which windows begin) so that only current versions remain; other months are not touched.
 
     The current versions are appended as new files, then the files that were read are deleted.
     A version that another run appends meanwhile lies in a file of its own and stays; until the
@@ -192,9 +209,11 @@ def compact_snapshots(spark: SparkSession, path: str, months: list[str] | None =
     versions = snapshot_versions(spark, path)
     if months is not None:
         versions = versions.filter(F.col("window_month").isin(months))
-    read = [unquote(f) for f in versions.inputFiles()]
-    current = newest(versions).hint("rebalance", "window_month")
-    current.write.mode("append").partitionBy("window_month").parquet(path)
+    # The names are those of the whole table, whatever the filter.
+    ours = None if months is None else {f"window_month={m}" for m in months}
+    read = [f for f in map(unquote, versions.inputFiles()) if ours is None or ours & set(f.split("/"))]
+    current = newest(versions).hint("rebalance", *MONTHS)
+    current.write.mode("append").partitionBy(*MONTHS).parquet(path)
     delete_files(spark, read)
 
 
@@ -213,9 +232,9 @@ def snapshot_metrics(
     return wide.unpivot([*WINDOW, "device_id"], wanted, "metric", "value")
 
 
-def receipts(spark: SparkSession, path: str, batch_id: str) -> DataFrame:
-    """What one run stored, one row per station and window."""
-    rows = snapshot_versions(spark, path).filter(F.col("batch_id") == batch_id)
+def receipts(spark: SparkSession, path: str, batch_id: str, since: datetime | None = None) -> DataFrame:
+    """What one run stored, one row per station and window; files older than ``since`` are not opened."""
+    rows = snapshot_versions(spark, path, since).filter(F.col("batch_id") == batch_id)
     return rows.select(
         "station_id", F.col("id").alias("snapshot_id"), "window_start", "window_end", "data_quality_score"
     )

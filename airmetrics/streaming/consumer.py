@@ -291,7 +291,7 @@ def replay_late(
     that come meanwhile wait for the next one. The newest batch may still be written again; it is taken
     in all the same, since a repeated batch holds the same events.
     """
-    replay_id = f"late-{uuid4().hex}"
+    replay_id, started = f"late-{uuid4().hex}", datetime.now(timezone.utc)
     done = _read(spark, tables.late_done, "batch_id bigint, replay_id string").select("batch_id").distinct()
     # Numbers of micro-batches, not rows.
     batches = [r.batch_id for r in tables.read_late(spark).select("batch_id").distinct().join(done, "batch_id", "left_anti").collect()]
@@ -304,7 +304,7 @@ def replay_late(
             add_days(spark, tables, touched, config, replay_id)
         marks = spark.createDataFrame([(b, replay_id) for b in batches], "batch_id bigint, replay_id string")
         marks.coalesce(1).write.mode("append").parquet(tables.late_done)
-    return snapshot_versions(spark, tables.snapshots).filter(F.col("batch_id") == replay_id)
+    return snapshot_versions(spark, tables.snapshots, started).filter(F.col("batch_id") == replay_id)
 
 
 def compact_bronze(spark: SparkSession, tables: StreamTables, min_batches: int = MIN_BATCHES) -> list:

@@ -295,3 +295,42 @@ def test_files_with_folder_columns_and_days_that_add_up(spark, contract, frame,
 def test_only_folders_have_files(spark, contract, folder):
     with pytest.raises(ValueError, match="path"):
         pending_files(spark, ReadingSource(table="readings"), folder("ledger"), contract)
+
+
+def test_reads_are_cut_at_both_ends(spark, contract, frame, folder):
+    path = folder("snap")
+    on = {PRESSURE: 7, "motor_speed": 900}
+    day = 1440
+    spans = {"jan": (0, day), "jan_to_mar": (0, 70 * day), "mar": (65 * day, 66 * day), "may": (130 * day, 131 * day)}
+    for station, minutes in spans.items():
+        write_snapshots(run_pipeline(frame([(m, "d", on) for m in minutes], station), contract, HOURLY).results, path)
+    empty = frame([(0, "d", on)]).limit(0)
+    write_snapshots(run_pipeline(empty, contract, HOURLY, stations=["none"]).results, path)
+
+    def found(**span):
+        return {r.station_id for r in read_snapshots(spark, path, **span).collect()}
+
+    between = {"start": "2024-02-10T00:00:00Z", "end": "2024-03-31T00:00:00Z"}
+    assert found(**between) == {"jan_to_mar", "mar", "none"}
+    assert found(start="2024-04-01T00:00:00Z") == {"may", "none"}
+    assert found(end="2024-01-31T00:00:00Z") == {"jan", "jan_to_mar", "none"}
+    compact_snapshots(spark, path, ["2024-01"])
+    assert found() == {*spans, "none"}
+    # Files of other months are not opened: they may as well be broken.
+    for months in ("window_month=2024-01/last_month=2024-01", "window_month=2024-05/last_month=2024-05"):
+        for file in Path(path, months).glob("part-*.parquet"):
+            file.write_bytes(bytes(file.stat().st_size))
+    assert found(**between) == {"jan_to_mar", "mar", "none"}
+
+
+def test_receipts_open_new_files_only(spark, contract, frame, folder):
+    path = folder("snap")
+    rows = frame([(0, "d", {PRESSURE: 7})])
+    process(spark, rows, path, contract, HOURLY)
+    (old,) = Path(path).rglob("part-*.parquet")
+    content = old.read_bytes()
+    old.write_bytes(bytes(len(content)))
+    os.utime(old, (0, 0))
+    assert process(spark, rows, path, contract, HOURLY).count() == 1
+    old.write_bytes(content)
+    assert snapshot_versions(spark, path).count() == 2
