@@ -9,7 +9,8 @@ the largest corrected count wins.
 An n-gram belongs to a language when it occurs at least ``min_count`` times in its sample, at a
 rate of at least ``share`` of its rate in the language where it is most frequent.
 
-Defined results: a text that is null, empty or without a letter is ``und`` with score 0. A text
+Defined results: a text that is null, empty or without a letter (numerals such as ½ or Ⅷ are none) is
+``und`` with score 0. A text
 whose n-grams are all unknown gets the language of the largest sample, with score 0. Ties go to
 the first language by name. Long texts are read whole, in slices of bounded size. Rows repeat as
 they come; other columns pass through untouched.
@@ -20,13 +21,13 @@ labelled text, whole texts taken by a hash of the text. Everything else covers a
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,10 +39,12 @@ PROBES = 3
 SAMPLE_BYTES = 8_000_000
 MIN_COUNT = 3
 SHARE = 0.2
-MAX_LANGUAGES = 63
+#: Languages that one word of a mask holds; further ones get further words.
+WORD_LANGUAGES = 63
 UNDETERMINED = "und"
 _SLICE = 1 << 19
-_NOT_LETTERS = re.compile(r"[\W\d_]+")
+# Numerals such as ½, ① or Ⅷ are no letters.
+_NOT_LETTERS = regex.compile(r"\P{L}+")
 
 
 def letters(text: str | None) -> str:
@@ -66,9 +69,20 @@ def _slots(hashes: np.ndarray, slots: int, probes: int) -> Iterator[np.ndarray]:
         yield ((hashes >> np.uint64(20 * k)) & np.uint64(slots - 1)).astype(np.int64)
 
 
+def upper_share(share: float, count: int, z: float = 2.0) -> float:
+    """Upper end of the Wilson interval of a share seen in ``count`` trials; 1 when there is none."""
+    if count <= 0:
+        return 1.0
+    spread = z * (share * (1 - share) / count + z * z / (4.0 * count * count)) ** 0.5
+    return min(1.0, (share + z * z / (2.0 * count) + spread) / (1.0 + z * z / count))
+
+
 @dataclass
 class LanguageFilters:
-    """The slots, the names of the bits, and the false-positive rate of each language's filter."""
+    """The slots, the names of the bits, and the false-positive rate of each language's filter.
+
+    ``masks`` has one entry per slot, or a row of them for every :data:`WORD_LANGUAGES` languages.
+    """
 
     masks: np.ndarray
     names: list[str]
@@ -77,36 +91,44 @@ class LanguageFilters:
     probes: int = PROBES
 
     def lookup(self, hashes: np.ndarray) -> np.ndarray:
+        """The masks of all languages that hold each n-gram, one row per word of the mask."""
+        sliced = np.atleast_2d(self.masks)
         found = None
-        for at in _slots(hashes, len(self.masks), self.probes):
-            found = self.masks[at] if found is None else found & self.masks[at]
+        for at in _slots(hashes, sliced.shape[1], self.probes):
+            found = sliced[:, at] if found is None else found & sliced[:, at]
         return found
 
     def counts(self, words: str) -> tuple[np.ndarray, int]:
         hits, total = np.zeros(len(self.names), dtype=np.int64), 0
         for hashes in gram_hashes(words):
-            masks = self.lookup(hashes)
-            total += len(masks)
-            if len(self.names) <= 8:
-                seen = np.bincount(masks, minlength=256)
-                values = np.arange(256)
-            else:
-                values, seen = np.unique(masks, return_counts=True)
-            for bit in range(len(self.names)):
-                hits[bit] += seen[(values >> np.array(bit, dtype=values.dtype)) & 1 == 1].sum()
+            total += len(hashes)
+            for word, masks in enumerate(self.lookup(hashes)):
+                if len(self.names) <= 8:
+                    seen = np.bincount(masks, minlength=256)
+                    values = np.arange(256)
+                else:
+                    values, seen = np.unique(masks, return_counts=True)
+                first = word * WORD_LANGUAGES
+                for bit in range(min(WORD_LANGUAGES, len(self.names) - first)):
+                    hits[first + bit] += seen[(values >> np.array(bit, dtype=values.dtype)) & 1 == 1].sum()
         return hits, total
 
     def predict(self, text: str | None) -> tuple[str, float, float]:
         """The language, its share of all corrected counts, and its share of the text's n-grams."""
+        return self.judge(text)[:3]
+
+    def judge(self, text: str | None) -> tuple[str, float, float, float]:
+        """What :meth:`predict` tells, and the upper end of the interval that the last share lies in."""
         words = letters(text)
         if not words or not self.names:
-            return UNDETERMINED, 0.0, 0.0
+            return UNDETERMINED, 0.0, 0.0, 0.0
         hits, total = self.counts(words)
         corrected = np.maximum(0.0, (hits - total * self.false_rate) / (1.0 - self.false_rate))
         best = int(np.argmax(corrected))
         if corrected[best] <= 0:
-            return self.names[self.largest], 0.0, 0.0
-        return self.names[best], float(corrected[best] / corrected.sum()), float(min(1.0, corrected[best] / total))
+            return self.names[self.largest], 0.0, 0.0, upper_share(0.0, total)
+        share = float(min(1.0, corrected[best] / total))
+        return self.names[best], float(corrected[best] / corrected.sum()), share, upper_share(share, total)
 
 
 def _count_grams(names: list[str]):
@@ -138,11 +160,10 @@ def fit(
     """Learn the filters from rows of ``lang`` and ``text``; null languages teach nothing."""
     known = labelled.select("lang", "text").where("lang is not null and text is not null")
     sizes = known.groupBy("lang").agg(F.sum(F.octet_length("text").cast("long")).alias("bytes")).orderBy("lang").collect()
-    if len(sizes) > MAX_LANGUAGES:
-        raise ValueError(f"{len(sizes)} languages; a mask holds {MAX_LANGUAGES}")
     names = [row.lang for row in sizes]
     kind = np.uint8 if len(names) <= 8 else np.uint64
-    masks = np.zeros(slots, dtype=kind)
+    words = max(1, -(-len(names) // WORD_LANGUAGES))
+    masks = np.zeros((words, slots), dtype=kind)
     if not names:
         return LanguageFilters(masks, names, np.zeros(0), probes=probes)
     taken = F.lit(False)
@@ -157,26 +178,41 @@ def fit(
     rated = seen.where(F.col("seen") >= min_count).withColumn("rate", F.col("seen") / total)
     entries = rated.groupBy("gram").agg(F.collect_list(F.struct("bit", "rate")).alias("own"), F.max("rate").alias("top"))
     member = F.filter("own", lambda x: x["rate"] >= share * F.col("top"))
-    mask = F.aggregate(member, F.lit(0).cast("long"), lambda m, x: m.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), x["bit"])))
+
+    def mask(word: int) -> Column:
+        def with_bit(m: Column, x: Column) -> Column:
+            inside = x["bit"] - word * WORD_LANGUAGES
+            bit = F.call_function("shiftleft", F.lit(1).cast("long"), inside)
+            return F.when(inside.between(0, WORD_LANGUAGES - 1), m.bitwiseOR(bit)).otherwise(m)
+
+        return F.aggregate(member, F.lit(0).cast("long"), with_bit).alias(f"mask{word}")
+
     places = [F.shiftrightunsigned("gram", 20 * k).bitwiseAND(slots - 1).alias(f"p{k}") for k in range(probes)]
-    spread = entries.select(mask.alias("mask"), F.explode(F.array(*places)).alias("at"))
+    spread = entries.select(*map(mask, range(words)), F.explode(F.array(*places)).alias("at"))
     # At most one row per slot, a fixed number.
-    filled = spread.groupBy("at").agg(F.bit_or("mask").alias("mask")).toArrow()
-    masks[filled.column("at").to_numpy()] = filled.column("mask").to_numpy().astype(kind)
-    fill = np.array([np.count_nonzero(masks & kind(1 << bit)) / slots for bit in range(len(names))])
+    filled = spread.groupBy("at").agg(*[F.bit_or(f"mask{w}").alias(f"mask{w}") for w in range(words)]).toArrow()
+    for w in range(words):
+        masks[w, filled.column("at").to_numpy()] = filled.column(f"mask{w}").to_numpy().astype(kind)
+    places_of = [divmod(k, WORD_LANGUAGES) for k in range(len(names))]
+    fill = np.array([np.count_nonzero(masks[w] & kind(1 << bit)) / slots for w, bit in places_of])
     largest = max(range(len(sizes)), key=lambda k: sizes[k].bytes)
     return LanguageFilters(masks, names, fill**probes, largest, probes)
 
 
 def predictor(spark: SparkSession, filters: LanguageFilters):
-    """A column function ``text -> struct<lang, score, coverage>``; the filters have a fixed size."""
+    """A column function ``text -> struct<lang, score, coverage, reach>``; the filters have a fixed size.
+
+    ``coverage`` is the share of the text's n-grams that belong to its language, ``reach`` the upper end of
+    the interval that share lies in, given how few n-grams the text may have.
+    """
     shared = spark.sparkContext.broadcast(filters)
 
-    @F.pandas_udf("lang string, score double, coverage double")
+    @F.pandas_udf("lang string, score double, coverage double, reach double")
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         model = shared.value
         for texts in batches:
-            yield pd.DataFrame([model.predict(text) for text in texts], columns=["lang", "score", "coverage"])
+            rows = [model.judge(text) for text in texts]
+            yield pd.DataFrame(rows, columns=["lang", "score", "coverage", "reach"])
 
     return predict
 
@@ -190,9 +226,9 @@ def with_language(documents: DataFrame, filters: LanguageFilters, text: str | Co
 def identified(documents: DataFrame, filters: LanguageFilters, coverage: float = 0.1) -> DataFrame:
     """The documents in a known language, all columns kept.
 
-    A text goes when it has no letter, or at least 50 letters and blanks of which less than
-    ``coverage`` of the n-grams belong to its language.
+    A text goes when it has no letter, or when less than ``coverage`` of its n-grams belong to its
+    language with certainty: the upper end of the share's Wilson interval (two deviations) lies below. One
+    rule holds for all lengths; a text of a few words has too few n-grams to be sure and stays.
     """
     found = predictor(documents.sparkSession, filters)("text")
-    foreign = (found["coverage"] < coverage) & (F.length("text") >= 50)
-    return documents.where((found["lang"] != UNDETERMINED) & ~foreign)
+    return documents.where((found["lang"] != UNDETERMINED) & (found["reach"] >= coverage))

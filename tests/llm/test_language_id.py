@@ -60,3 +60,35 @@ def test_held_out_accuracy(spark):
     joined = found.join(truth, "doc_id").where("held_out")
     assert joined.where("lang = lang_pred").count() >= 0.97 * joined.count()
     assert found.where("score < 0 or score > 1").count() == 0
+
+
+def test_numerals_are_no_letters(spark):
+    filters = _filters(spark)
+    for text in ("½ ² ①", "Ⅷ ⅳ 三"[:-1], "٣ 12 _ -"):
+        assert language_id.letters(text) == "" and filters.predict(text)[0] == "und"
+    assert language_id.letters("Æther 三 x²y") == " æther 三 x y "
+
+
+def test_more_languages_than_one_word_of_a_mask_holds(spark):
+    def gibberish(k):
+        rng = np.random.default_rng(k)
+        return " ".join("".join(rng.choice(list("abcdefghijklmnop"), 6)) for _ in range(40))
+
+    docs = documents(spark, [(k, gibberish(k) + " " + gibberish(k) + " " + gibberish(k), f"l{k:03}") for k in range(70)])
+    filters = language_id.fit(docs)
+    assert filters.masks.shape[0] == 2
+    found = language_id.with_language(docs.drop("lang"), filters).collect()
+    # A gram of a language is by chance one of another in about a fifth of cases, over all 69 of them.
+    assert all(r.lang_pred == f"l{r.doc_id:03}" and r.score > 0.6 for r in found)
+
+
+def test_one_rule_for_all_lengths(spark):
+    """What is surely foreign goes whatever its length; what is too short to be sure stays."""
+    filters = _filters(spark)
+    strange = "qzqz vkvk xjxj wywy "
+    rows = [(1, "qzqz"), (2, strange * 2), (3, strange * 500), (4, strange + EN), (5, "1 " * 5000 + "qzqz")]
+    kept = {r.doc_id for r in language_id.identified(documents(spark, rows), filters).collect()}
+    assert kept == {1, 4, 5}
+    for share, count in ((0.0, 0), (0.0, 5), (0.3, 40), (1.0, 7)):
+        assert share <= language_id.upper_share(share, count) <= 1.0
+    assert language_id.upper_share(0.0, 36) >= 0.1 > language_id.upper_share(0.0, 37)
