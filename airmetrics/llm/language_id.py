@@ -74,7 +74,7 @@ def upper_share(share: float, count: int, z: float = 2.0) -> float:
     if count <= 0:
         return 1.0
     spread = z * (share * (1 - share) / count + z * z / (4.0 * count * count)) ** 0.5
-    return min(1.0, (share + z * z / (2.0 * count) + spread) / (1.0 + z * z / count))
+    return min(1.0, max(share, (share + z * z / (2.0 * count) + spread) / (1.0 + z * z / count)))
 
 
 @dataclass

@@ -91,4 +91,4 @@ def test_one_rule_for_all_lengths(spark):
     assert kept == {1, 4, 5}
     for share, count in ((0.0, 0), (0.0, 5), (0.3, 40), (1.0, 7)):
         assert share <= language_id.upper_share(share, count) <= 1.0
-    assert language_id.upper_share(0.0, 36) >= 0.1 > language_id.upper_share(0.0, 37)
+    assert language_id.upper_share(0.0, 35) > 0.1 > language_id.upper_share(0.0, 37)
