@@ -448,6 +448,26 @@ ORACLE: dict[str, str] = {
     "incremental_lookback_ffill": sql(
         [VALID, FFILL, bucketed("h", "f", "1 hour"), metrics("m", "h")], f"select {KEYS}, {METRICS_OUT} from m"
     ),
+    "rollup_1d": sql([VALID, bucketed("b", "v", "1 day")], BUCKETS_OUT + "b"),
+    "rollup_1w": sql([VALID, bucketed("b", "v", "7 days")], BUCKETS_OUT + "b"),
+    "rollup_1mo": sql([VALID, bucketed("b", "v", "1 month")], BUCKETS_OUT + "b"),
+    "rollup_window": sql(
+        [VALID],
+        f"""select {KEYS}, time_bucket(interval '1 day', timestamp) as timestamp, count(*) as rows,
+  {each("count({s}) as {s}_n, " + r6("min({s})") + " as {s}_min, " + r6("max({s})") + " as {s}_max")}
+  from v where station_id in ('station_1', 'station_3') and timestamp >= timestamp '2024-01-05 06:00:00'
+    and timestamp < timestamp '2024-01-20 13:00:00' group by 1, 2, 3""",
+    ),
+    "rollup_corrected": sql(
+        [
+            f"rc as (select * replace (case when {DAY} = date '2024-01-10' then motor_speed + 1 else motor_speed end as motor_speed) from r)",
+            VALID.replace("from r)", "from rc)"),
+            bucketed("b", "v", "1 day"),
+            f"late as (select distinct station_id, {DAY} as day from r where timestamp >= timestamp '2024-01-20 06:00:00')",
+        ],
+        f"""select {BUCKET_KEYS}, {ROUNDED}, {DAY} = date '2024-01-10' or exists (select 1 from late
+    where late.station_id = b.station_id and late.day = cast(b.timestamp as date)) as again from b""",
+    ),
     "incremental_pending": sql(
         [
             f"""c as (select station_id, {DAY} as period, count(*) as rows,

@@ -32,12 +32,14 @@ from airmetrics.operators.quality import (
 )
 from airmetrics.operators.ranges import null_out_of_range
 from airmetrics.operators.resample import fill_grid, resample
+from airmetrics.operators.rollups import means
 from airmetrics.operators.series import Layout
 from airmetrics.operators.stations import busiest_readings, busiest_slice, check_device_counts
 from airmetrics.operators.trends import daily_health, pressure_trend
 from airmetrics.plans.files import pending_files, process_files
 from airmetrics.plans.incremental import pending_days, process_pending, read_ledger
 from airmetrics.plans.lookback import process_with_lookback, totals
+from airmetrics.plans.rollups import drop_replaced, read_rollups, update_rollups
 from airmetrics.plans.stations import process, run_pipeline
 from airmetrics.sources.events import dead_letters, good_events, long_readings, parse_events
 from airmetrics.sources.folders import shared_folder
@@ -444,6 +446,41 @@ def incremental_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pending_files(spark, files, ledger, CONTRACT)[0].select("station_id", "period", "rows")
 
 
+def _rolled_up(rule: str) -> Query:
+    """Resampled readings out of stored partial sums."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        path = shared_folder(spark, "rollups")
+        update_rollups(spark, readings(spark, sf_dir), path, CONTRACT)
+        rows = means(read_rollups(spark, path, rule, CONTRACT), SENSORS)
+        return flat(rows, *BUCKET_KEYS, *SENSORS)
+
+    return query
+
+
+def rollup_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two stations' days from hours, the first and last one cut, with counts and extremes."""
+    path = shared_folder(spark, "rollups")
+    update_rollups(spark, readings(spark, sf_dir), path, CONTRACT)
+    bounds = ("2024-01-05T06:00:00Z", "2024-01-20T13:00:00Z")
+    rows = read_rollups(spark, path, "1d", CONTRACT, ["station_1", "station_3"], *bounds)
+    parts = [f"{s}_{part}" for s in SENSORS for part in ("n", "min", "max")]
+    return flat(rows, *BUCKET_KEYS, "rows", *parts)
+
+
+def rollup_corrected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Later rows came and a day was corrected: only these days are done again, then old versions go."""
+    rows, path = readings(spark, sf_dir), shared_folder(spark, "rollups")
+    early = rows.filter(F.col("timestamp") < F.lit(datetime(2024, 1, 20, 6, tzinfo=timezone.utc)))
+    update_rollups(spark, early, path, CONTRACT)
+    done = update_rollups(spark, _corrected(rows), path, CONTRACT)
+    drop_replaced(spark, path)
+    days = means(read_rollups(spark, path, "1d", CONTRACT), SENSORS)
+    again = done.select("station_id", F.col("period").cast("timestamp").alias("timestamp"), F.lit(True).alias("again"))
+    marked = days.join(again, ["station_id", "timestamp"], "left")
+    return flat(marked.withColumn("again", F.coalesce("again", F.lit(False))), *BUCKET_KEYS, *SENSORS, "again")
+
+
 def _lookback(strategy: str) -> Query:
     """Metrics of all history out of stored days; the later days came first, one of them in parts."""
 
@@ -736,6 +773,11 @@ QUERIES: dict[str, Query] = {
     "incremental_lookback_ffill": _lookback("ffill"),
     "incremental_pending": incremental_pending,
     "incremental_corrected": incremental_corrected,
+    "rollup_1d": _rolled_up("1d"),
+    "rollup_1w": _rolled_up("1w"),
+    "rollup_1mo": _rolled_up("1mo"),
+    "rollup_window": rollup_window,
+    "rollup_corrected": rollup_corrected,
     "incremental_reverted": incremental_reverted,
     "incremental_files": incremental_files,
     "null_rows_whole": null_rows_whole,
