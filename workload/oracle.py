@@ -394,7 +394,7 @@ ORACLE: dict[str, str] = {
   {r6("regr_slope(average_pressure_bar, cast(day - date '1970-01-01' as double))")} as pressure_slope_per_day from td group by {KEYS}""",
     ),
     "clean_readings": sql(CLEAN, BUCKETS_OUT + "h"),
-    "dq_score": sql(REPORT, "select station_id, round(score, 1) as score from dq"),
+    "dq_score": sql(REPORT, "select station_id, round(score, 2) as score from dq"),
     "dq_report": sql(REPORT, REPORT_OUT),
     "dq_report_sliced": sql(REPORT, REPORT_OUT),
     "station_results": sql(
@@ -419,7 +419,7 @@ ORACLE: dict[str, str] = {
     "process_receipts": sql(
         REPORT,
         f"""select station_id, {ISO.format(t='min(h.timestamp)')} as window_start, {ISO.format(t='max(h.timestamp)')} as window_end,
-  round(max(score), 1) as score from h join dq using (station_id) group by station_id""",
+  round(max(score), 2) as score from h join dq using (station_id) group by station_id""",
     ),
     "snapshot_upsert": sql(
         CLEAN,

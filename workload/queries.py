@@ -305,7 +305,7 @@ def _report(chunk: str) -> Query:
 
 def dq_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     run = run_pipeline(readings(spark, sf_dir), CONTRACT, HOURLY)
-    return run.quality.select("station_id", F.round("data_quality_score", 1).alias("score"))
+    return run.quality.select("station_id", F.round("data_quality_score", 2).alias("score"))
 
 
 def station_results(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -348,7 +348,7 @@ def process_receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_folder(spark, "snapshots")
     rows = process(spark, readings(spark, sf_dir), path, CONTRACT, HOURLY)
     return rows.select(
-        "station_id", "window_start", "window_end", F.round("data_quality_score", 1).alias("score")
+        "station_id", "window_start", "window_end", F.round("data_quality_score", 2).alias("score")
     )
 
 
