@@ -372,6 +372,17 @@ ORACLE: dict[str, str] = {
         ],
         f"select {KEYS}, {METRICS_OUT} from m",
     ),
+    "device_metrics_thresholds": sql(
+        [*CLEAN, metrics("m", "h").replace("> 1.0", "> 3200.0").replace("> 0.5", "> 60.0").replace("> 0.001", "> 90.0")],
+        f"select {KEYS}, {METRICS_OUT} from m",
+    ),
+    "contract_json": sql(
+        ["o as (select *, discharge_pressure < 2 or discharge_pressure > 6.5 as p, motor_speed < 0 or motor_speed > 3000 as m from r)"],
+        """select station_id, count(*) as rows, count(case when p or m then 1 end) as anomaly_rows,
+  count(case when p then 1 end) as discharge_pressure, count(case when m then 1 end) as motor_speed,
+  count(case when not p then 1 end) as discharge_pressure_kept, count(case when not m then 1 end) as motor_speed_kept
+  from o group by station_id""",
+    ),
     "device_metrics_max_gap": sql(
         [*CLEAN, metrics("m", "h", max_gap=3600)], f"select {KEYS}, {METRICS_OUT} from m"
     ),

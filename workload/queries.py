@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from datetime import datetime, timezone
 
@@ -11,6 +12,7 @@ from pyspark.sql import types as T
 
 from airmetrics.compressed_air import COLUMN_ALIASES
 from airmetrics.config import PipelineConfig
+from airmetrics.contract import Contract
 from airmetrics.operators.evolve import (
     contract_checks,
     convert_units,
@@ -114,6 +116,29 @@ def read_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat(rows, *ROW_KEYS, *SENSORS)
 
 
+OWN_CONTRACT = """{
+  "version": "plant-2",
+  "tables": {"sensor_readings": {"columns": {
+    "timestamp": {"type": "datetime", "required": true},
+    "station_id": {"type": "string", "required": true},
+    "device_id": {"type": "string", "required": true},
+    "discharge_pressure": {"type": "float", "unit": "bar", "valid_range": {"min": 2, "max": 6.5}},
+    "motor_speed": {"type": "float", "unit": "RPM", "valid_range": {"min": 0, "max": 3000}}
+  }}}
+}"""
+
+
+def contract_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Readings under a contract given as JSON: its columns only, its ranges, counts before and after the cut."""
+    contract = Contract.from_dict(json.loads(OWN_CONTRACT))
+    rows = select_known(readings(spark, sf_dir), contract)
+    before = range_counts(rows, contract)
+    after = null_out_of_range(rows, contract).groupBy("station_id").agg(
+        *[F.count(s).alias(f"{s}_kept") for s in contract.sensors]
+    )
+    return flat(before.join(after, "station_id"))
+
+
 def contract_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The readings as text with damaged numbers, checked against the contract."""
     rows = readings(spark, sf_dir)
@@ -712,6 +737,7 @@ def stream_late_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "read_window": read_window,
     "contract_check": contract_check,
+    "contract_json": contract_json,
     "contract_evolution": contract_evolution,
     "range_nulling": range_nulling,
     "oor_counts": oor_counts,
@@ -754,6 +780,9 @@ QUERIES: dict[str, Query] = {
     "device_metrics_1s_max_gap": _run_devices("ffill", "1d", rule="1s", max_gap_seconds=1800),
     "device_metrics_ffill": _run_devices("ffill", "1d"),
     "device_metrics_drop": _run_devices("drop", "auto"),
+    "device_metrics_thresholds": _run_devices(
+        "interpolate", "auto", motor_on_threshold_rpm=3200.0, power_on_threshold_kw=60.0, flow_epsilon_m3h=90.0
+    ),
     "device_metrics_max_gap": _run_devices("interpolate", "auto", max_gap_seconds=3600),
     "metrics_long": long_metrics,
     "trend": trend,
