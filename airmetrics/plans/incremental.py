@@ -50,11 +50,13 @@ def day_states(readings: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     )
 
 
-def read_ledger(spark: SparkSession, path: str) -> DataFrame:
-    """What the newest finished run saw of each day."""
+def read_ledger(spark: SparkSession, path: str, without: str | None = None) -> DataFrame:
+    """What the newest finished run saw of each day; a run ``without`` is left out, as if it had not been."""
     if not path_exists(spark, f"{path}/done"):
         return spark.createDataFrame([], LEDGER)
     planned = spark.read.schema(LEDGER).parquet(f"{path}/planned")
+    if without is not None:
+        planned = planned.filter(F.col("run_id") != without)
     done = spark.read.schema("run_id string, finished_at timestamp").parquet(f"{path}/done")
     done = done.groupBy("run_id").agg(F.min("finished_at").alias("finished_at"))
     seen = F.max_by(F.struct(*STATE, "run_id"), F.struct("finished_at", "run_id")).alias("_seen")

@@ -56,23 +56,26 @@ def update(
     config: PipelineConfig,
     pending: DataFrame,
     run_id: str | None = None,
+    held: DataFrame | None = None,
 ) -> DataFrame:
     """Run the pending ``(station_id, period)`` with look-back and look-ahead.
 
     ``pending`` has the columns of :func:`pending_days`. ``readings`` may be a function that reads
-    the days it is given, for sources that are laid out by day. A run under the same ``run_id`` replaces
-    what an unfinished one of that name left.
+    the days it is given, for sources that are laid out by day. ``held`` are the rows of the pending days
+    where the caller has them at hand; then only days that get other values are read. A run under the same
+    ``run_id`` replaces what an earlier one of that name left.
     """
     rule = parse_rule(config.resample_rule)
     if not DAYS.nests(rule) or config.fill_grid:
         raise ValueError(f"days are run one by one: buckets of {config.resample_rule!r} must divide a day, without a grid")
     run_id = run_id or uuid4().hex
-    ledger = read_ledger(spark, path).filter(F.col("run_id") != run_id)
+    ledger = read_ledger(spark, path, without=run_id)
     pending = _kept(pending.select(*PERIODS, *STATE), f"{path}/pending", run_id)
     sensors = contract.sensors
 
     # Edges of the changed days, and with them what every day gets now.
-    rows = _checked(_touched(readings, pending), contract)
+    own = _touched(readings, pending) if held is None else held.filter(in_series(SERIES))
+    rows = _checked(own, contract)
     new = _kept(_edges(rows, sensors), f"{path}/edges", run_id)
     stored = _current(spark, path, ledger, sensors)
     others = stored.join(pending, on=list(PERIODS), how="left_anti")
@@ -88,7 +91,11 @@ def update(
     moved = ledger.join(moved, on=list(PERIODS), how="left_semi").select(*PERIODS, *STATE)
     planned = _kept(pending.unionByName(moved), f"{path}/planned", run_id, LEDGER)
 
-    rows = _checked(_touched(readings, planned), contract)
+    if held is None:
+        rows = _checked(_touched(readings, planned), contract)
+    else:
+        others = planned.join(pending, on=list(PERIODS), how="left_anti")
+        rows = rows.unionByName(_checked(_touched(readings, others), contract))
     summary = _summaries(rows, gets, contract, config)
     here = edges.join(planned.select(*PERIODS), on=list(PERIODS), how="left_semi")
     days = here.join(gets.drop("rows"), on=list(DAY_KEYS)).join(summary, on=list(DAY_KEYS), how="left")

@@ -59,28 +59,31 @@ def parse_events(raw: DataFrame, contract: Contract, keep: Sequence[str] = ()) -
     # mention of a field would parse the text again.
     once = F.explode(F.array(F.from_json("raw", ENVELOPE))).alias("_e")
     parsed = raw.select("raw", *keep, once)
-    values = {s: e["readings"][s] for s in contract.sensors}
+    # Each step uses what the one before has made: no text is looked up or converted twice.
+    texts = {f"_text_{s}": e["readings"][s] for s in contract.sensors}
+    parsed = parsed.withColumns({"timestamp": F.try_to_timestamp(e["timestamp"]), **texts})
+    parsed = parsed.withColumns({s: F.col(f"_text_{s}").try_cast("double") for s in contract.sensors})
     return parsed.select(
         "raw",
         *keep,
         e["event_id"].alias("event_id"),
-        F.try_to_timestamp(e["timestamp"]).alias("timestamp"),
+        "timestamp",
         e["station_id"].alias("station_id"),
         e["device_id"].alias("device_id"),
-        *[v.try_cast("double").alias(s) for s, v in values.items()],
-        reject_reason(e, values).alias("reason"),
+        *contract.sensors,
+        reject_reason(e, {s: (F.col(f"_text_{s}"), F.col(s)) for s in contract.sensors}).alias("reason"),
     )
 
 
-def reject_reason(event: Column, values: dict[str, Column]) -> Column:
-    """Why an event cannot be used, or NULL."""
+def reject_reason(event: Column, values: dict[str, tuple[Column, Column]]) -> Column:
+    """Why an event cannot be used, or NULL; of every sensor the text and the number it gives."""
     unreadable = F.coalesce(event["event_type"] != SENSOR_READING, F.lit(True)) | event["readings"].isNull()
     incomplete = F.lit(False)
     for name in ("event_id", "timestamp", "station_id", "device_id"):
         incomplete = incomplete | event[name].isNull()
-    mistyped = F.try_to_timestamp(event["timestamp"]).isNull()
-    for value in values.values():
-        mistyped = mistyped | (value.isNotNull() & value.try_cast("double").isNull())
+    mistyped = F.col("timestamp").isNull()
+    for text, number in values.values():
+        mistyped = mistyped | (text.isNotNull() & number.isNull())
     return (
         F.when(unreadable, CORRUPT).when(incomplete, MISSING_FIELD).when(mistyped, BAD_TYPE)
     )

@@ -157,8 +157,9 @@ def batch_handler(
         newest = newest_event(spark, tables, batch_id)
         # Null for the first batch, and without a lateness: nothing is behind it.
         mark = F.timestamp_micros(F.lit(newest if lateness else None).cast("bigint")) - F.expr(f"INTERVAL {lateness or '0 seconds'}")
-        # Read four times below; its size is bounded by the source's rate limit.
-        parsed = parse_events(batch, tables.contract, keep=("ingested_at",)).persist()
+        parsed = parse_events(batch, tables.contract, keep=("ingested_at",))
+        # Read four times below; its size is bounded by the source's rate limit. Only rejected events need their text.
+        parsed = parsed.withColumn("raw", F.when(F.col("reason").isNotNull(), F.col("raw"))).persist()
         try:
             good = good_events(parsed).withColumn("day", F.to_date("timestamp"))
             _write_batch(good, tables.bronze.raw, batch_id, "day")
@@ -174,10 +175,7 @@ def batch_handler(
             # Calendar days of one batch, not rows: they prune bronze to the folders needed.
             days = [r.period for r in touched.select("period").distinct().collect()]
             if days:
-                if snapshots:
-                    recompute(spark, tables, days, touched, config, f"stream-{batch_id}")
-                if lookback:
-                    add_days(spark, tables, touched, config, f"stream-{batch_id}")
+                _run_days(spark, tables, days, touched, config, f"stream-{batch_id}", snapshots, lookback)
             status = batch_status(parsed, mark)
             before = F.timestamp_micros(F.lit(newest).cast("bigint"))
             status = status.withColumns(
@@ -195,29 +193,50 @@ def batch_handler(
     return handle
 
 
-def recompute(
+def _run_days(
     spark: SparkSession,
     tables: StreamTables,
     days: list,
     touched: DataFrame,
     config: PipelineConfig,
-    batch_id: str,
+    run_id: str,
+    snapshots: bool,
+    lookback: bool,
 ) -> None:
-    """Run the touched (station, day) pairs from bronze and store their snapshots."""
+    """Run the touched (station, day) pairs from bronze: their snapshots, their summaries, or both."""
     readings = tables.readings(spark, days).join(touched, on=list(PERIODS), how="left_semi")
-    _store(readings, tables.read_bronze(spark).filter(F.col("day").isin(days)), tables, config, batch_id)
+    if lookback:
+        # Read for the snapshots, the edges and the summaries: copies are removed once.
+        readings = readings.persist()
+    try:
+        if snapshots:
+            bronze = tables.read_bronze(spark).filter(F.col("day").isin(days))
+            _store(readings, bronze, tables, config, run_id)
+        if lookback:
+            add_days(spark, tables, touched, config, run_id, readings.drop("period"))
+    finally:
+        if lookback:
+            readings.unpersist()
 
 
 def add_days(
-    spark: SparkSession, tables: StreamTables, touched: DataFrame, config: PipelineConfig, batch_id: str
+    spark: SparkSession,
+    tables: StreamTables,
+    touched: DataFrame,
+    config: PipelineConfig,
+    batch_id: str,
+    held: DataFrame | None = None,
 ) -> None:
-    """Bring the day summaries up to date with the touched days, and with days that look at them."""
+    """Bring the day summaries up to date with the touched days, and with days that look at them.
+
+    ``held`` are the readings of the touched days, where they are at hand.
+    """
     pending = touched.withColumns({c: F.lit(0).cast("bigint") for c in STATE})
 
     def readings(days: list) -> DataFrame:
         return tables.readings(spark, days).drop("period")
 
-    update(spark, readings, tables.days, tables.contract, config, pending, batch_id)
+    update(spark, readings, tables.days, tables.contract, config, pending, batch_id, held)
 
 
 def day_totals(
@@ -299,9 +318,7 @@ def replay_late(
     touched = taken.select("station_id", F.col("day").alias("period")).distinct()
     days = [r.period for r in touched.select("period").distinct().collect()]
     if days:
-        recompute(spark, tables, days, touched, config, replay_id)
-        if lookback:
-            add_days(spark, tables, touched, config, replay_id)
+        _run_days(spark, tables, days, touched, config, replay_id, True, lookback)
         marks = spark.createDataFrame([(b, replay_id) for b in batches], "batch_id bigint, replay_id string")
         marks.coalesce(1).write.mode("append").parquet(tables.late_done)
     return snapshot_versions(spark, tables.snapshots, started).filter(F.col("batch_id") == replay_id)

@@ -28,6 +28,7 @@ from airmetrics.streaming.consumer import (
     batch_handler,
     batch_log,
     compact_bronze,
+    day_totals,
     drop_bronze_before,
     drop_dead_letters_before,
     late_days,
@@ -150,6 +151,24 @@ def test_repeated_batch_replaces_itself(spark, contract):
     assert read_snapshots(spark, tables.snapshots).count() == 1
 
 
+def test_copies_are_removed_once_and_a_repeated_batch_moves_days_again(spark, contract, monkeypatch):
+    """Snapshots, edges and summaries share the rows of a batch; other days are read where they get other values."""
+    tables, asked, whole = StreamTables(shared_folder(spark, "once"), contract), [], StreamTables.readings
+    note = lambda self, spark, days=None: asked.append(sorted(d.day for d in days)) or whole(self, spark, days)
+    handle = batch_handler(tables, HOURLY, lookback=True)
+    first = [event("a", 0, discharge_pressure=5), event("b", 2880), event("c", 2881, discharge_pressure=7)] * 2
+    with monkeypatch.context() as patch:
+        patch.setattr(StreamTables, "readings", note)
+        # Day 3 begins without a pressure: it looks back to day 1, and then to day 2. The last batch comes twice.
+        for batch_id, events in ((0, first), (1, [event("d", 1440, discharge_pressure=6)]), (1, [event("d", 1440, discharge_pressure=6)])):
+            handle(raw(spark, events + BROKEN).withColumn("ingested_at", F.current_timestamp()), batch_id)
+    assert asked == [[1, 3], [], [2], [3], [2], [3]]
+    found = day_totals(spark, tables, HOURLY).select("reading_count", "average_pressure_bar").collect()
+    devices = run_pipeline(tables.readings(spark).drop("period"), contract, HOURLY).devices
+    assert found == devices.select("reading_count", "average_pressure_bar").collect()
+    assert sorted(r.reason for r in tables.read_dead_letters(spark).where("raw IS NOT NULL").collect()) == sorted(2 * ["missing_field", "bad_type", "corrupt"])
+
+
 def test_empty_consumer(spark, contract):
     tables = StreamTables(shared_folder(spark, "none"), contract)
     assert processing_status(spark, tables).first().processed == 0
