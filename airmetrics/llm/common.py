@@ -80,9 +80,13 @@ def maybe_among(frame: DataFrame, ids: DataFrame, key: str, maybe: bool = True)
     return frame.join(F.broadcast(buckets), bucket(frame[key]) == buckets["_bucket"], how)
 
 
-def release_memory() -> None:
-    """Give memory that earlier tasks of this worker process have freed back to the system."""
-    gc.collect()
+def release_memory(cycles: bool = True) -> None:
+    """Give memory that earlier tasks of this worker process have freed back to the system.
+
+    Without ``cycles``, for steps that repeat in one task, objects that refer to one another are left.
+    """
+    if cycles:
+        gc.collect()
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # only the GNU C library has it
         ctypes.CDLL(None).malloc_trim(0)
